@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op5_pack": packing.op5_pack,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality": quality.op7_quality,
+    "op8_token_files": token_files.op8_token_files,
 }
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
