@@ -2,7 +2,8 @@
 
 A byte-level BPE with the usual splitting pattern never lets a token cross a place where a single space stands between
 two characters that are not white space: the space opens the next split. A text is cut there, each distinct piece is
-encoded once by the library, and the ids of a text are those of its pieces in order. Texts that spell a special token go to the
+encoded once by the library, and the ids of a text are those of its pieces in order. Pieces of plain Latin letters and
+ASCII are cut into the pattern's splits first, which then go to the library's model one by one, each once. Texts that spell a special token go to the
 library whole. The memo is bounded and belongs to one Python worker."""
 
 from __future__ import annotations
@@ -14,8 +15,19 @@ import numpy as np
 
 _UNSAFE = re.compile(r" \s|\s ")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-_BLANK = re.compile(r"\s")
-MEMO_PIECES = 1_200_000
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
+_SPLITS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[^0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _spelling() -> dict[int, int]:
+    """Byte-level vocabularies write a printable Latin-1 byte as itself and the others, in order, as U+0100 onwards."""
+    same = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in same]
+    return {b: 0x100 + k for k, b in enumerate(others)}
+
+
+_SPELLING = _spelling()
+MEMO_PIECES = 800_000
 
 
 def default_path() -> str:
@@ -35,47 +47,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> list[int]:
+        """Ids of one split: the vocabulary's merges over its bytes, each written as the character that stands for it."""
+        spelt = part if part.isascii() and part.isprintable() and " " not in part else part.encode().decode("latin-1").translate(_SPELLING)
+        return [t.id for t in self.model.tokenize(spelt)]
+
     def _learn(self, keys: list[str]) -> None:
         """A key is a piece after a space; with a leading space it is a text's own beginning, without that space.
 
-        Pieces without white space are encoded as the lines of one text: a line feed is a split and a token of its own
-        there, so the ids between two of them are a piece's. Others are encoded one by one."""
-        texts = [key[1:] if key[:1] == " " else " " + key for key in keys]
-        lines = [k for k, t in enumerate(texts) if (t[1:] if t[:1] == " " else t) and not _BLANK.search(t, 1)]
-        found: dict[int, list[int]] = {}
-        if lines:
-            flat = np.array(self.tokenizer.encode("\n".join([texts[k] for k in lines]), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(flat == self.line_feed)
-            if len(cuts) == len(lines) - 1:
-                starts = np.concatenate(([0], cuts + 1))
-                base = len(self.flat)
-                self.at.update(zip([keys[k] for k in lines], range(len(self.starts), len(self.starts) + len(lines)), strict=True))
-                self.starts.frombytes((starts + base).astype(np.int64).tobytes())
-                self.sizes.frombytes((np.concatenate((cuts, [len(flat)])) - starts).astype(np.int64).tobytes())
-                self.flat.frombytes(flat.tobytes())
-                done = set(lines)
-                texts_left = [k for k in range(len(keys)) if k not in done] if len(done) < len(keys) else []
+        Pieces of plain letters and ASCII are cut into the pattern's splits here and their splits remembered as well;
+        the library cuts others itself."""
+        whole, splits = [], {}
+        for key in keys:
+            if key[:1] != " " and _PLAIN.match(key) and not key.startswith("'"):
+                found = _SPLITS.findall(key)
+                found[0] = " " + found[0]
+                splits[key] = found
             else:
-                texts_left = list(range(len(keys)))
-        else:
-            texts_left = list(range(len(keys)))
-        if texts_left:
-            found = dict(zip(texts_left, self._raw([texts[k] for k in texts_left]), strict=True))
-        for k, ids in found.items():
-            self.at[keys[k]] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.sizes.append(len(ids))
-            self.flat.extend(ids)
+                whole.append(key)
+        ids_of = dict(zip(whole, self._raw([k[1:] if k[:1] == " " else " " + k for k in whole]), strict=True)) if whole else {}
+        parts, keep = self.parts, len(self.parts) < MEMO_PIECES
+        flat, starts, sizes, at = self.flat, self.starts, self.sizes, self.at
+        for key in keys:
+            if key in splits:
+                ids = []
+                for part in splits[key]:
+                    got = parts.get(part)
+                    if got is None:
+                        got = self._part(part)
+                        if keep:
+                            parts[part] = got
+                    ids += got
+            else:
+                ids = ids_of[key]
+            at[key] = len(starts)
+            starts.append(len(flat))
+            sizes.append(len(ids))
+            flat.extend(ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         pieces: list[str] = []
