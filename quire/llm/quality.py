@@ -74,8 +74,10 @@ def statistics_table(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["doc_id", "x"])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                x = pa.array([statistics(t) for t in some.column(1).to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([some.column(0), x], names=["doc_id", "x"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(made, "doc_id long, x array<double>")
 

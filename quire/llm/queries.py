@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, token_files, toxicity
+from . import fingerprints, jaccard, mixing, packing, quality, token_files, toxicity
 
 QUERIES = {
+    "op1_syncmers": fingerprints.op1_syncmers,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op5_pack": packing.op5_pack,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality": quality.op7_quality,
     "op8_token_files": token_files.op8_token_files,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
+    "op10_jaccard": jaccard.ORACLE,
 }

@@ -3,20 +3,21 @@
 A byte-level BPE with the usual splitting pattern never lets a token cross a place where a single space stands between
 two characters that are not white space: the space opens the next split. A text is cut there, each distinct piece is
 encoded once by the library, and the ids of a text are those of its pieces in order. Pieces of plain Latin letters and
-ASCII are cut into the pattern's splits first, which then go to the library's model one by one, each once. Texts that spell a special token go to the
-library whole. The memo is bounded and belongs to one Python worker."""
+ASCII are cut into the pattern's splits first, which then go to the library's model one by one, each once. Texts that
+spell a special token go to the library whole. The memo is bounded and belongs to one Python worker."""
 
 from __future__ import annotations
 
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 
 _UNSAFE = re.compile(r" \s|\s ")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
-_SPLITS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[^0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile(r"(?!')[\x21-\x7eÀ-ÖØ-öø-ÿ]+(?:\n[\x21-\x7eÀ-ÖØ-öø-ÿ]+)*\Z")
+_SPLITS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[^\n0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\n")
 
 
 def _spelling() -> dict[int, int]:
@@ -27,7 +28,9 @@ def _spelling() -> dict[int, int]:
 
 
 _SPELLING = _spelling()
-MEMO_PIECES = 800_000
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
+MEMO_PIECES = 600_000
 
 
 def default_path() -> str:
@@ -52,49 +55,60 @@ class Encoder:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> list[int]:
-        """Ids of one split: the vocabulary's merges over its bytes, each written as the character that stands for it."""
-        spelt = part if part.isascii() and part.isprintable() and " " not in part else part.encode().decode("latin-1").translate(_SPELLING)
-        return [t.id for t in self.model.tokenize(spelt)]
+    @staticmethod
+    def _spell(part: str) -> str:
+        """The characters that stand for a split's bytes."""
+        return part.encode().decode("latin-1").translate(_SPELLING)
+
+    def _ids(self, spelt: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _learn(self, keys: list[str]) -> None:
         """A key is a piece after a space; with a leading space it is a text's own beginning, without that space.
 
         Pieces of plain letters and ASCII are cut into the pattern's splits here and their splits remembered as well;
         the library cuts others itself."""
-        whole, splits = [], {}
+        found, whole, parts, tails = {}, [], self.parts, self.tails
+        plain, cut, latin, keep = _PLAIN.match, _SPLITS.findall, _LATIN.match, len(self.parts) < MEMO_PIECES * 2 // 3
         for key in keys:
-            if key[:1] != " " and _PLAIN.match(key) and not key.startswith("'"):
-                found = _SPLITS.findall(key)
-                found[0] = " " + found[0]
-                splits[key] = found
+            word = key.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or latin(word)):  # a word, and marks that don't begin a contraction
+                got = parts.get(word)
+                if got is None:
+                    got = self._ids("\u0120" + (word if word.isascii() else self._spell(word)))
+                    if keep:
+                        parts[word] = got
+                if len(word) == len(key):
+                    found[key] = got
+                else:
+                    tail = key[len(word) :]
+                    end = tails.get(tail)
+                    if end is None:
+                        end = self._ids(tail)
+                        if len(tails) < MEMO_PIECES // 100:
+                            tails[tail] = end
+                    found[key] = got + end
+            elif plain(key):
+                splits = cut(key)
+                splits[0] = " " + splits[0]
+                found[key] = b"".join([self._ids(self._spell(part)) for part in splits])
             else:
                 whole.append(key)
-        ids_of = dict(zip(whole, self._raw([k[1:] if k[:1] == " " else " " + k for k in whole]), strict=True)) if whole else {}
-        parts, keep = self.parts, len(self.parts) < MEMO_PIECES
-        flat, starts, sizes, at = self.flat, self.starts, self.sizes, self.at
-        for key in keys:
-            if key in splits:
-                ids = []
-                for part in splits[key]:
-                    got = parts.get(part)
-                    if got is None:
-                        got = self._part(part)
-                        if keep:
-                            parts[part] = got
-                    ids += got
-            else:
-                ids = ids_of[key]
-            at[key] = len(starts)
-            starts.append(len(flat))
-            sizes.append(len(ids))
-            flat.extend(ids)
+        if whole:
+            for key, ids in zip(whole, self._raw([k[1:] if k[:1] == " " else " " + k for k in whole]), strict=True):
+                found[key] = array("I", ids).tobytes()
+        sizes = np.fromiter(map(len, found.values()), np.int64, len(found)) // 4
+        self.at.update(zip(found, range(len(self.starts), len(self.starts) + len(found)), strict=True))
+        self.starts.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+        self.flat.frombytes(b"".join(found.values()))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         pieces: list[str] = []
@@ -113,9 +127,12 @@ class Encoder:
         if not pieces:
             return np.empty(0, np.uint32), ends
         kept = len(self.starts), len(self.flat)
-        if new := set(pieces).difference(self.at):
-            self._learn(sorted(new))
-        index = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        index = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        absent = np.flatnonzero(index < 0).tolist()
+        new = dict.fromkeys(pieces[i] for i in absent)
+        if new:
+            self._learn(list(new))
+            index[absent] = [self.at[pieces[i]] for i in absent]
         starts, sizes, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64), np.frombuffer(self.flat, np.uint32)
         n = sizes[index]
         upto = np.cumsum(n)

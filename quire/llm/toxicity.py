@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -120,9 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", learn=None,
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, marks = [], []
         for batch in batches:
-            rows += [features(t, dims, orders) for t in batch.column(0).to_pylist()]
+            for at in range(0, batch.num_rows, 256):
+                rows += [features(t, dims, orders) for t in batch.column(0).slice(at, 256).to_pylist()]
             marks += batch.column(1).to_pylist()
-        order = sorted(range(len(rows)), key=lambda k: (marks[k], rows[k].tobytes()))  # the same sums however rows arrive
+        order = sorted(range(len(rows)), key=lambda k: (marks[k], blake2b(rows[k].tobytes()).digest()))  # the same sums however rows arrive
         model = fit([rows[k] for k in order], np.array([marks[k] for k in order]), dims) if rows else {"weights": np.zeros(dims, np.float32), "bias": 0.0, "rate": 0.0}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
@@ -140,10 +142,10 @@ def score(docs: DataFrame, model: dict, text: str = "text", dims: int = DIMS, or
         weights, bias, rate = held.value["weights"], held.value["bias"], held.value["rate"]
         for batch in batches:
             got = np.empty(batch.num_rows)
-            for k, t in enumerate(batch.column(at).to_pylist()):
-                x = features(t, dims, orders)
-                z = bias + float(weights[x].sum(dtype=np.float64))
-                got[k] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            for a in range(0, batch.num_rows, 256):
+                for k, t in enumerate(batch.column(at).slice(a, 256).to_pylist(), a):
+                    z = bias + float(weights[features(t, dims, orders)].sum(dtype=np.float64))
+                    got[k] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             if rate in (0.0, 1.0):
                 got[:] = rate
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=names)
