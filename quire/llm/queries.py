@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, mixing, packing, quality, token_files, toxicity
+from . import fingerprints, jaccard, mixing, packing, quality, token_files, toxicity, warc
 
 QUERIES = {
     "op1_syncmers": fingerprints.op1_syncmers,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_warc": warc.op3_warc,
     "op5_pack": packing.op5_pack,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality": quality.op7_quality,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op10_jaccard": jaccard.ORACLE,
 }
