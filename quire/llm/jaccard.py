@@ -1,20 +1,21 @@
 """N-gram Jaccard join by a token-group matrix: exact links between documents whose sets of word shingles are alike.
 
-1. Groups. Documents whose two min-hashes agree meet in a task (keys that many share are salted into chunks of `CHUNK`
-   rows first, and the chunks' leaders meet again, level by level). There each document is compared with the leaders
-   before it and joins the first it links with, or becomes a leader. So every member of a group links with its leader.
-2. The matrix. A linked pair shares at least l tokens among the rarest `n - ceil(t n) + l` of each (any one order of
-   tokens will do; frequent ones come last). A group stores the union of these tokens of its members: one row for each
-   token and group, however many members have it.
-3. Bounds. Two groups can hold a linked pair only if their unions share l tokens and their sizes allow it. Only such
+1. Groups of similar documents. A linked pair shares tokens among the rarest `n - ceil(t n) + l` of each, in any one
+   order of tokens (frequent ones come last). A document's group key is the first frequent token among these: copies of
+   a text that many copy have it in common, while a passage that unlike documents share comes after what is their own.
+   Documents without one take two min-hashes as their key. Keys that many share are salted; groups have at most `CHUNK`
+   distinct sets, and all their pairs are compared in their task, which emits components, not pairs.
+2. The matrix: a group's union of its members' rarest tokens, one row for each token and group.
+3. Bounds. Two groups can hold a linked pair only if their unions share as many tokens as their sizes ask for. Only such
    pairs of groups qualify.
-4. Opening. Leaders of qualifying groups are compared; groups whose leaders link are one component and need not be
-   opened. The remaining qualifying groups are opened: members that share l of these tokens are compared, exactly.
-5. Components: large-star, small-star over the links between leaders.
+4. Opening. A qualifying pair of groups is a task's work: the two groups' sets are compared there and only edges between
+   components leave it. First each group is opened with one partner (a forest); pairs of groups that are one component
+   after that aren't opened again, all others are.
+5. Components: large-star, small-star over these edges.
 
-Tokens are 64-bit hashes of shingles (whole texts; sets are compared by them); the matrix holds 32 bits of them, which
-may let a pair qualify in vain, never miss one. The frequent tokens that the order knows are a bounded list: the order
-steers costs, results don't depend on it. No pairs inside a group are made, and no list of a token's documents.
+Tokens are 64-bit hashes of shingles of whole texts, and sets are compared by them. The matrix holds 32 bits of them: two
+that collide in a union count once, so the bound is lowered by one. The frequent tokens that the order knows are a
+bounded list: the order steers costs, results don't depend on it. No list of a token's documents is made.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component; fewer
 words than a shingle has are one shingle together. Equal texts link. A null doc_id is kept, with a null component, and
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dimension, drop, materialize, mix64, read
@@ -38,8 +39,8 @@ from .graph import components
 WORDS = 5
 THRESHOLD = 75  # hundredths
 CHUNK = 128
-SHARED = 3  # the l above
-LEADERS = 16  # compared at most before a document becomes a leader; the matrix finds what that misses
+COPIES = 32  # a set of more documents is grouped once, by its smallest doc_id
+SHARED = 3  # the l below
 #: The list of frequent tokens that the order of tokens knows; a bound on its size, not on what is compared.
 FREQUENT = 100_000
 
@@ -142,19 +143,23 @@ def rare_tokens(x: np.ndarray, frequent: np.ndarray, count: np.ndarray, threshol
     return x[:take]
 
 
-def group_keys(sets: list[np.ndarray], ids: list) -> np.ndarray:
-    """Two min-hashes of each set as one number; an empty set has a key of its own."""
-    one, two = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-    for k, (x, i) in enumerate(zip(sets, ids, strict=True)):
-        if len(x):
-            one[k], two[k] = mix64(x ^ np.uint64(0xA5A5_5A5A_1234_5678)).min(), mix64(x ^ np.uint64(0x0F0F_F0F0_8765_4321)).min()
-        else:
-            two[k] = (i or 0) % (1 << 64)
-    return mix64(one * np.uint64(31) + two)
+def key_of(x: np.ndarray, doc, frequent: np.ndarray, count: np.ndarray, threshold: int = THRESHOLD) -> tuple[int, bool]:
+    """The group key of a set (64 bits), and whether it is a frequent token."""
+    if not len(x):
+        return int(mix64(np.array([(doc or 0) % (1 << 64)], np.uint64))[0]), False
+    if len(frequent):
+        for_links = rare_tokens(x, frequent, count, threshold)
+        at = np.searchsorted(frequent, for_links)
+        at[at == len(frequent)] = 0
+        known = np.flatnonzero(frequent[at] == for_links)
+        if len(known):
+            return int(for_links[known[0]]), True
+    one, two = (int(mix64(x ^ np.uint64(seed)).min()) for seed in (0xA5A5_5A5A_1234_5678, 0x0F0F_F0F0_8765_4321))
+    return (one * 31 + two) % (1 << 64), False
 
 
-def survey(docs: DataFrame, words: int = WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Frequent tokens with their counts, and the group keys of many rows with theirs; both lists are bounded."""
+def frequent_tokens(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """At most FREQUENT tokens of many documents, sorted, and their counts (of windows in which they are frequent)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -165,79 +170,154 @@ def survey(docs: DataFrame, words: int = WORDS) -> tuple[list[tuple[int, int]],
             if len(token) > 4_000:
                 top = np.argpartition(-count, 4_000)[:4_000]
                 token, count = token[top], count[top]
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(token), np.int32)), pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], names=["kind", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
-            key, count = np.unique(group_keys(sets, batch.column(0).to_pylist()), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], names=["kind", "key", "n"])
-            for x in sets:
-                held.append(x)
-                n += len(x)
+            for at in range(0, batch.num_rows, 1024):
+                for x in shingle_sets(batch.column(0).slice(at, 1024).to_pylist(), words):
+                    held.append(x)
+                    n += len(x)
                 if n > 2_000_000:
                     yield often()
                     held, n = [], 0
         if held:
             yield often()
 
-    total = docs.mapInArrow(counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    total = materialize(total.where((F.col("kind") == 0) | (F.col("n") > CHUNK)), "survey")
-    rows = total.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    frequent = total.where("kind = 0").orderBy(F.col("n").desc(), "key").limit(FREQUENT).collect()
-    hot = total.where((F.col("kind") == 1) & (F.col("n") > max(CHUNK, rows // 50_000))).collect()  # fewer than 50,000
+    total = docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = sorted((r["token"] % (1 << 64), r["n"]) for r in total.orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect())
+    return np.array([t for t, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
+
+
+def hot_keys(docs: DataFrame, frequent, words: int, threshold: int) -> tuple[dict[int, int], dict[bytes, int]]:
+    """The keys of many documents and into how many chunks each is salted; and the sets of many documents (their
+    digests) with the smallest doc_id of each. Both lists have fewer than 50,000 rows."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, count = frequent.value
+        for batch in batches:
+            keys: dict[bytes, int] = {}
+            names: dict[bytes, tuple[int, int]] = {}
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                for doc, x in zip(some.column(0).to_pylist(), shingle_sets(some.column(1).to_pylist(), words), strict=True):
+                    if doc is None or not len(x):
+                        continue
+                    key, often = key_of(x, doc, tokens, count, threshold)
+                    if often:
+                        name, key = digest(x), key.to_bytes(8, "big")
+                        keys[key] = keys.get(key, 0) + 1
+                        low, n = names.get(name, (doc, 0))
+                        names[name] = min(low, doc), n + 1
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array([*keys, *names], pa.binary()), pa.array([None] * len(keys) + [low for low, _ in names.values()], pa.int64()), pa.array([*keys.values(), *(n for _, n in names.values())], pa.int64())], names=["name", "low", "n"])
+
+    total = docs.select("doc_id", "text").mapInArrow(counted, "name binary, low long, n long").groupBy("name").agg(F.min("low").alias("low"), F.sum("n").alias("n")).where(F.col("n") > COPIES)
+    total = materialize(total, "keys")
+    rows = total.agg(F.sum("n")).first()[0] or 0
+    hot = total.where(F.col("n") > F.greatest(F.lit(rows // 50_000), F.when(F.col("low").isNull(), CHUNK).otherwise(COPIES))).collect()
     drop(total)
-    return [(r["key"], r["n"]) for r in frequent], [(r["key"], r["n"]) for r in hot]
+    signed = lambda key: int.from_bytes(key, "big", signed=True)
+    return {signed(r["name"]): -(-r["n"] // CHUNK) for r in hot if r["low"] is None}, {bytes(r["name"]): r["low"] for r in hot if r["low"] is not None}
 
 
-def _clusters(threshold: int, words: int, frequent, count, keep_text: bool):
-    """A task's groups: rows (key, salt, doc_id, text, tokens) sorted by key, salt, doc_id. tokens is null for documents,
-    the union so far for leaders of a level below."""
+def digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        leaders: list[dict] = []
-        exact: dict[bytes, dict] = {}
+
+class Group:
+    """Distinct sets of a task's group, linked as they come."""
+
+    def __init__(self):
+        self.sets: list[np.ndarray] = []
+        self.ids: list[int] = []
+        self.parent: list[int] = []
+        self.exact: dict[bytes, int] = {}
+        self.rows: list[tuple[int, int, int, bool]] = []  # doc_id, n, place of its set, whether the first of it
+
+    def root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+
+    def add(self, doc: int, x: np.ndarray, threshold: int) -> None:
+        name = digest(x)
+        k = self.exact.get(name)
+        first = k is None
+        if first:
+            k = self.exact[name] = len(self.sets)
+            self.parent.append(k)
+            for j, y in enumerate(self.sets):
+                if self.root(j) != self.root(k) and links(x, y, threshold):
+                    self.join(j, k)
+            self.sets.append(x)
+            self.ids.append(doc)
+        self.rows.append((doc, len(x), k, first))
+
+
+GROUPS = "doc_id long, n long, root long, grp long, first boolean, tokens array<int>, least long, most long"
+
+
+def grouped(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """A row for each document: n, its group, its component's root in that group, whether it is the first of its set
+    there; the group's first row has the union of tokens and the least and largest size. Materialised."""
+    sc = docs.sparkSession.sparkContext
+    frequent = sc.broadcast(frequent_tokens(docs, words))
+    table = sc.broadcast(hot_keys(docs, frequent, words, threshold))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, count = frequent.value
+        chunks, copied = table.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
+                sets = shingle_sets(texts, words)
+                key = np.array([key_of(x, i, tokens, count, threshold)[0] for x, i in zip(sets, ids, strict=True)], np.uint64).view(np.int64)
+                own = (mix64(np.array([i or 0 for i in ids], np.int64).view(np.uint64)) >> np.uint64(1)).view(np.int64)
+                salt = own % np.array([chunks.get(k, 1) for k in key.tolist()], np.int64)
+                low: list[int | None] = [None] * len(ids)
+                if copied:
+                    for k, x in enumerate(sets):
+                        rep = copied.get(digest(x)) if ids[k] is not None and len(x) else None
+                        if rep is not None and rep != ids[k]:  # one of many copies: its text stays here
+                            low[k], texts[k], key[k] = rep, None, own[k]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), some.column(0), pa.array(texts, pa.string()), pa.array(low, pa.int64()), pa.array([len(x) for x in sets], pa.int64())], names=["key", "salt", "doc_id", "text", "low", "n"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, count = frequent.value
+        now, group = None, Group()
         out: list[tuple] = []
 
         def close():
-            for x in leaders:
-                out.append((x["key"], x["doc"], len(x["set"]), x["doc"], np.concatenate(x["tokens"]) if x["tokens"] else np.empty(0, np.int32), x["least"], x["most"], x["text"] if keep_text else None))
+            if not group.rows:
+                return
+            union = np.unique(np.concatenate([rare_tokens(x, tokens, count, threshold).astype(np.uint32).view(np.int32) for x in group.sets]))
+            sizes = [len(x) for x in group.sets]
+            for k, (doc, n, place, first) in enumerate(group.rows):
+                more = (union, min(sizes), max(sizes)) if k == 0 else (None, None, None)
+                out.append((doc, n, group.ids[group.root(place)], group.ids[0], first, *more))
 
         def batch_of(rows):
-            columns = list(zip(*rows, strict=True))
-            unions = pa.array([None if u is None else np.unique(u) for u in columns[4]], pa.list_(pa.int32()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.string())
-            return pa.RecordBatch.from_arrays([unions if t is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "doc_id", "n", "leader", "tokens", "least", "most", "text"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n", "root", "grp", "first", "tokens", "least", "most"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                keys, salts, docs, texts, unions, least, most = (some.column(i).to_pylist() for i in range(7))
-                for key, salt, doc, text, union, low, high, x in zip(keys, salts, docs, texts, unions, least, most, shingle_sets(texts, words), strict=True):
-                    if (key, salt) != now:
-                        close()
-                        now, leaders, exact = (key, salt), [], {}
-                    n = len(x)
-                    if not n or doc is None:
-                        out.append((key, doc, n, doc, None, n, n, None))
+                keys, salts, ids, texts, lows, sizes = (some.column(i).to_pylist() for i in range(6))
+                for key, salt, doc, low, n, x in zip(keys, salts, ids, lows, sizes, shingle_sets(texts, words), strict=True):
+                    if low is not None or not n or doc is None:
+                        out.append((doc, n, doc if low is None else low, None, False, None, None, None))
                         continue
-                    name = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-                    own = exact.get(name)
-                    if own is None:
-                        own = next((y for y in reversed(leaders[-LEADERS:]) if links(x, y["set"], threshold)), None)
-                        tokens = rare_tokens(x, frequent, count, threshold).astype(np.uint32).view(np.int32) if union is None else np.array(union, np.int32)
-                        if own is None:
-                            own = {"key": key, "doc": doc, "set": x, "tokens": [], "least": n, "most": n, "text": text}
-                            leaders.append(own)
-                        exact[name] = own
-                        own["tokens"].append(tokens)
-                        if len(own["tokens"]) > 64:
-                            own["tokens"] = [np.unique(np.concatenate(own["tokens"]))]
-                    elif union is not None:
-                        own["tokens"].append(np.array(union, np.int32))
-                    own["least"], own["most"] = min(own["least"], n, low or n), max(own["most"], n, high or n)
-                    if own["doc"] != doc or own["text"] is not text:
-                        out.append((key, doc, n, own["doc"], None, n, n, None))
+                    if (key, salt) != now or len(group.sets) >= CHUNK:
+                        close()
+                        now, group = (key, salt), Group()
+                    group.add(doc, x, threshold)
                 if len(out) >= 512:
                     yield batch_of(out)
                     out.clear()
@@ -245,175 +325,118 @@ def _clusters(threshold: int, words: int, frequent, count, keep_text: bool):
         if out:
             yield batch_of(out)
 
-    return made
-
-
-CLUSTERS = "key long, doc_id long, n long, leader long, tokens array<int>, least long, most long, text string"
-
-
-def grouped(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """members: doc_id, n, leader (of the first level); and the leaders: leader, top (its group), tokens, least, most."""
-    spark = docs.sparkSession
-    often, hot = survey(docs, words)
-    order = sorted((np.uint64(k % (1 << 64)), n) for k, n in often)
-    sc = spark.sparkContext
-    frequent = sc.broadcast((np.array([k for k, _ in order], np.uint64), np.array([n for _, n in order], np.int64)))
-    chunks = {k: -(-n // CHUNK) for k, n in hot}
-    table = sc.broadcast((np.array(sorted(chunks), np.int64), np.array([chunks[k] for k in sorted(chunks)], np.int64)))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys, n = table.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids = some.column(0).to_pylist()
-                key = group_keys(shingle_sets(some.column(1).to_pylist(), words), ids).view(np.int64)
-                salt = np.zeros(len(key), np.int64)
-                if len(hot_keys):
-                    place = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
-                    own = mix64(np.array([i or 0 for i in ids], np.int64).view(np.uint64)) >> np.uint64(1)
-                    salt = np.where(hot_keys[place] == key, own.view(np.int64) % n[place], -1)
-                else:
-                    salt -= 1
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), *some.columns], names=["key", "salt", "doc_id", "text"])
-
-    def level(rows: DataFrame, keep_text: bool) -> DataFrame:
-        dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("doc_id").asc_nulls_first(), "text")
-        freq = frequent
-
-        def run(batches):
-            yield from _clusters(threshold, words, *freq.value, keep_text)(batches)
-
-        return dealt.mapInArrow(run, CLUSTERS)
-
-    none = [F.lit(None).cast("array<int>").alias("tokens"), F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("most")]
-    rows = docs.mapInArrow(keyed, "key long, salt long, doc_id long, text string").select("key", "salt", "doc_id", "text", *none)
-    hot_keys = spark.createDataFrame([(k, n) for k, n in chunks.items()], "key long, chunks long")
-    first = level(rows, bool(hot))
-    if hot:  # texts are kept of the leaders of salted keys only
-        first = first.join(F.broadcast(hot_keys), "key", "left").withColumn("text", F.when(F.col("chunks").isNotNull(), F.col("text")))
-    else:
-        first = first.withColumn("chunks", F.lit(None).cast("long"))
-    first = materialize(first, "groups")
-    members = first.select("doc_id", "n", "leader")
-    leaders = first.where(F.col("tokens").isNotNull())
-    done = leaders.where(F.col("chunks").isNull()).select("leader", F.col("leader").alias("top"), "tokens", "least", "most")
-    widest, current = max(chunks.values(), default=1), leaders.where(F.col("chunks").isNotNull()).select("key", "chunks", "doc_id", "text", "tokens", "least", "most")
-    ups = []  # leader -> leader a level up
-    while hot:
-        widest = -(-widest // CHUNK)
-        current = current.withColumn("chunks", F.ceil(F.col("chunks") / CHUNK))
-        salted = current.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
-        up = materialize(level(salted.select("key", "salt", "doc_id", "text", "tokens", "least", "most"), True).join(F.broadcast(hot_keys.select("key")), "key", "left"), "level")
-        ups.append(up)
-        current = up.where(F.col("tokens").isNotNull()).join(F.broadcast(hot_keys), "key").withColumn("chunks", F.lit(widest).cast("long")).select("key", "chunks", "doc_id", "text", "tokens", "least", "most")
-        if widest <= 1:
-            break
-    if ups:
-        last = ups[-1].where(F.col("tokens").isNotNull()).select(F.col("leader").alias("top"), "tokens", "least", "most")
-        path = ups[0].select(F.col("doc_id").alias("leader"), F.col("leader").alias("top")).distinct()
-        for up in ups[1:]:
-            step = up.select(F.col("doc_id").alias("top"), F.col("leader").alias("_top")).distinct()
-            path = path.join(step, "top").select("leader", F.col("_top").alias("top"))
-        path = materialize(path, "path")
-        done = done.unionByName(last.withColumn("leader", F.col("top")).select("leader", "top", "tokens", "least", "most"))
-        members = members.withColumnRenamed("leader", "_low").join(dimension(path).withColumnRenamed("leader", "_low"), "_low", "left").select("doc_id", "n", F.coalesce("top", "_low").alias("leader"))
-    return members, done.select(F.col("top").alias("leader"), "tokens", "least", "most")
+    rows = docs.mapInArrow(keyed, "key long, salt long, doc_id long, text string, low long, n long")
+    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("doc_id").asc_nulls_first(), "text")
+    return materialize(dealt.mapInArrow(linked, GROUPS), "groups")
 
 
 def qualifying(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a < b) of groups whose unions share enough tokens and whose sizes allow a link."""
-    matrix = groups.select("leader", "least", "most", F.explode("tokens").alias("token"))
-    per_token = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    spread = matrix.repartition("token")
-    found = materialize(spread.join(per_token.hint("merge"), "token", "left_semi"), "matrix")
-    a = found.select("token", F.col("leader").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"))
-    b = found.select("token", F.col("leader").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"))
-    size = (100 * F.col("ma") >= threshold * F.col("lb")) & (100 * F.col("mb") >= threshold * F.col("la"))
-    pairs = a.hint("merge").join(b, "token").where((F.col("a") < F.col("b")) & size)
-    must = lambda n: F.least(F.lit(SHARED), F.ceil(threshold * F.col(n) / 100))
-    out = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("la").alias("la"), F.min("lb").alias("lb")).where(F.col("c") >= F.least(must("la"), must("lb"))).select("a", "b"), "qualifying")
+    """Pairs (a < b) of groups whose unions share as many tokens as a linked pair of their sizes must."""
+    matrix = groups.where("tokens is not null").select("grp", "least", "most", F.explode("tokens").alias("token"))
+    shared = matrix.repartition("token").withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
+    found = materialize(shared.select("token", "grp", "least", "most"), "matrix")
+    side = lambda n: found.select("token", F.col("grp").alias(n), F.col("least").alias(f"l{n}"), F.col("most").alias(f"m{n}"))
+    fits = (100 * F.col("ma") >= threshold * F.col("lb")) & (100 * F.col("mb") >= threshold * F.col("la"))
+    pairs = side("a").hint("merge").join(side("b"), "token").where((F.col("a") < F.col("b")) & fits)
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("la", "ma", "lb", "mb")])
+    need = lambda n: F.ceil(threshold * n / 100)
+    taken = lambda n: F.least(F.lit(SHARED), need(n))
+    # All but the taken tokens of a set are past its rarest ones; what is shared beyond those is at most that many
+    must = F.ceil(threshold * (F.col("la") + F.col("lb")) / (100 + threshold)) - F.greatest(*[need(F.col(n)) - taken(F.col(n)) for n in ("ma", "mb")])
+    least = F.greatest(F.least(taken(F.col("la")), taken(F.col("lb"))), must) - 1
+    out = materialize(pairs.where(F.col("c") >= F.greatest(least, F.lit(1))).select("a", "b"), "qualifying")
     drop(found)
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """Those of the pairs (x, y, ...) of ids whose texts link; docs: doc_id, text."""
-    needed = materialize(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "needed")
-    texts = docs.join(dimension(needed), "doc_id", "left_semi")
-    texts = materialize(texts, "texts")
-    both = pairs.select("x", "y").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
+def opened(pairs: DataFrame, groups: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Edges (x, y) between components' roots that the comparison of all sets of pairs (a, b) of groups finds."""
+    wanted = materialize(pairs.select(F.col("a").alias("grp")).union(pairs.select("b")).distinct(), "wanted")
+    sets = groups.where("first").select("doc_id", "grp", "root").join(dimension(wanted), "grp", "left_semi")
+    sets = materialize(sets, "sets")
+    texts = materialize(docs.join(dimension(sets), "doc_id").select("doc_id", "grp", "root", "text"), "texts")
+    aims = pairs.select("a", "b", F.col("a").alias("grp"), F.lit(0).alias("side")).union(pairs.select("a", "b", "b", F.lit(1)))
+    cells = aims.join(texts, "grp").select("a", "b", "side", "doc_id", "root", "text")
+    cells = cells.repartition("a", "b").sortWithinPartitions("a", "b", "side", "doc_id")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        left: list[tuple[int, np.ndarray]] = []
+        right: list[tuple[int, np.ndarray]] = []
+        memo: dict[str, np.ndarray] = {}
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
+        def close():
+            """Overlaps of each right set with all left ones at once; a pair of roots is linked once."""
+            edges = set()
+            if left and right:
+                owner = np.repeat(np.arange(len(left)), [len(x) for _, x in left])
+                flat = np.concatenate([x for _, x in left])
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                sizes = np.array([len(x) for _, x in left])
+                for root, y in right:
+                    a, b = np.searchsorted(flat, y, "left"), np.searchsorted(flat, y, "right")
+                    n = b - a
+                    hit = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    both = np.bincount(owner[hit], minlength=len(left))
+                    for k in np.flatnonzero(100 * both >= threshold * (sizes + len(y) - both)):
+                        if left[k][0] != root:
+                            edges.add((left[k][0], root))
+            return edges
+
+        found: list[tuple[int, int]] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                x, y, tx, ty = (some.column(k).to_pylist() for k in range(4))
-                seen = {}
-                new = {t: None for t in (*tx, *ty)}
-                seen = dict(zip(new, shingle_sets(list(new), words), strict=True))
-                keep = pa.array([links(seen[p], seen[q], threshold) for p, q in zip(tx, ty, strict=True)])
-                yield pa.RecordBatch.from_arrays([some.column(0).filter(keep), some.column(1).filter(keep)], names=["x", "y"])
-
-    return materialize(both.select("x", "y", "tx", "ty").mapInArrow(checked, "x long, y long").distinct(), "links")
+                a, b, side, root = (some.column(k).to_pylist() for k in (0, 1, 2, 4))
+                for p, q, s, r, x in zip(a, b, side, root, shingle_sets(some.column(5).to_pylist(), words), strict=True):
+                    if (p, q) != now:
+                        found += close()
+                        now, left, right = (p, q), [], []
+                    (right if s else left).append((r, x))
+                if len(found) > 1024:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["x", "y"])
+                    found = []
+        found += close()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["x", "y"])
+
+    out = materialize(cells.mapInArrow(compared, "x long, y long").distinct(), "links")
+    for df in (wanted, sets, texts):
+        drop(df)
+    return out
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    members, groups = grouped(docs, words, threshold)
-    open_pairs = qualifying(groups, threshold)
-    edges = None
-    if open_pairs.limit(1).count():
-        edges = verified(open_pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), docs, words, threshold)
+    groups = grouped(docs, words, threshold)
+    members = groups.select("doc_id", "n", "root")
+    pairs = qualifying(groups, threshold)
+    # What the many copies of a set point at is linked with its root
+    copied = groups.where("grp is null and root <> doc_id").select(F.col("root").alias("x")).distinct()
+    copied = materialize(copied, "copied")
+    edges = groups.where("first and root <> doc_id").select(F.col("doc_id").alias("x"), F.col("root").alias("y")).join(dimension(copied), "x", "left_semi")
+    edges = materialize(edges, "copies")
+    joined = None
+    if pairs.limit(1).count():
+        forest = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "forest")
+        edges = edges.unionByName(opened(forest, groups, docs, words, threshold))
         joined = components(edges)
-        of = lambda side: dimension(joined).select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-        apart = open_pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        apart = materialize(apart, "apart")
-        if more := opened(apart, members, docs, words, threshold):
-            joined = components(edges.unionByName(more))
-        members = members.join(dimension(joined), members["leader"] == joined["node"], "left").select("doc_id", "n", F.coalesce("comp", "leader").alias("leader"))
-    return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("leader", "doc_id").alias("component_id"))
-
-
-def opened(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame | None:
-    """Links (as edges between leaders) between members of the given pairs of groups; None if there are none."""
-    groups = materialize(pairs.select(F.col("a").alias("leader")).union(pairs.select("b")).distinct(), "to-open")
-    inside = materialize(members.where("n > 0").join(dimension(groups), "leader", "left_semi"), "inside")
-    # A group of one has been compared already, as its leader
-    sizes = inside.groupBy("leader").agg((F.count("*") > 1).alias("more"))
-    of = lambda side: sizes.select(F.col("leader").alias(side), F.col("more").alias(f"m{side}"))
-    pairs = materialize(pairs.join(of("a"), "a").join(of("b"), "b").where("ma or mb").select("a", "b"), "opened")
-    if not pairs.limit(1).count():
-        return None
-    wanted = pairs.select(F.col("a").alias("leader")).union(pairs.select("b")).distinct()
-    inside = materialize(inside.join(wanted, "leader", "left_semi"), "members")
-    rows = docs.join(dimension(inside.select("doc_id", "leader")), "doc_id")
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, np.uint64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                sets = shingle_sets(some.column(2).to_pylist(), words)
-                rare = [rare_tokens(x, none, none, threshold).astype(np.uint32).view(np.int32) for x in sets]
-                name = [hashlib.blake2b(x.tobytes(), digest_size=8).digest() for x in sets]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([int.from_bytes(x, "little", signed=True) for x in name], pa.int64()), pa.array(rare, pa.list_(pa.int32()))], names=["doc_id", "leader", "n", "name", "tokens"])
-
-    own = rows.select("doc_id", "leader", "text").mapInArrow(tokens, "doc_id long, leader long, n long, name long, tokens array<int>")
-    # Of equal sets in a group one stands for all
-    own = materialize(own.groupBy("leader", "name").agg(F.min_by(F.struct("doc_id", "n", "tokens"), "doc_id").alias("d")).select("leader", "d.doc_id", "d.n", F.explode("d.tokens").alias("token")), "opened-tokens")
-    left = own.join(pairs, own["leader"] == pairs["a"]).select("token", F.col("b").alias("to"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("leader").alias("lx"))
-    right = own.select("token", F.col("leader").alias("to"), F.col("doc_id").alias("y"), F.col("n").alias("ny"))
-    fits = (100 * F.col("nx") >= threshold * F.col("ny")) & (100 * F.col("ny") >= threshold * F.col("nx"))
-    met = left.join(right, ["token", "to"]).where(fits).groupBy("x", "y", "lx", "to").agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    must = F.least(F.lit(SHARED), F.ceil(threshold * F.least("nx", "ny") / 100))
-    met = materialize(met.where(F.col("c") >= must).select("x", "y", "lx", F.col("to").alias("ly")), "met")
-    if not met.limit(1).count():
-        return None
-    good = verified(met, docs, words, threshold)
-    return met.join(good, ["x", "y"]).select(F.col("lx").alias("x"), F.col("ly").alias("y"))
+        # A group is settled if all its roots are one component
+        roots = groups.where("first").select("grp", "root").distinct()
+        comps = roots.join(dimension(joined), roots["root"] == joined["node"], "left").select("grp", F.coalesce("comp", "root").alias("comp"))
+        settled = materialize(comps.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "settled")
+        of = lambda n: settled.select(F.col("grp").alias(n), F.col("low").alias(f"l{n}"), F.col("high").alias(f"h{n}"))
+        rest = pairs.join(forest, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b")
+        rest = materialize(rest.where("not (la = ha and lb = hb and la = lb)").select("a", "b"), "rest")
+        if rest.limit(1).count():
+            joined = components(edges.unionByName(opened(rest, groups, docs, words, threshold)))
+    elif edges.limit(1).count():
+        joined = components(edges)
+    if joined is not None:
+        members = members.join(dimension(joined), members["root"] == joined["node"], "left").select("doc_id", "n", F.coalesce("comp", "root").alias("root"))
+    return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
