@@ -98,30 +98,38 @@ def filesystem(where: str):
     return fs.FileSystem.from_uri(where if "://" in where or not where.startswith("file:") else "file://" + where[5:])
 
 
-def token_table(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n and ids (little-endian unsigned 32-bit, the end id last) of every text."""
+def id_type(path: str | None = None, end_id: int = END_ID) -> str:
+    """The narrowest of two little-endian types that holds every id; what passes between tasks is written in it."""
+    tokenizer = encoder(path or default_path()).tokenizer
+    return "<u2" if max(end_id, *tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
+
+
+def token_table(docs: DataFrame, kind: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """doc_id, n and ids (of that type, the end id last) of every text."""
     path = path or default_path()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path), np.array([end_id], kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 flat, ends = enc.encode(some.column(1).to_pylist())
-                raw = [flat[a:b].astype("<u4").tobytes() + end for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "ids"])
+                flat = flat.astype(kind)
+                raw = [flat[a:b].tobytes() + end for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // len(end) for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, n long, ids binary")
 
 
-def frequency_ranks(tokens: DataFrame) -> np.ndarray:
+def frequency_ranks(tokens: DataFrame, kind: str) -> np.ndarray:
     """Ids by rank. One row for each id of the vocabulary reaches the driver: its size bounds it, not the corpus."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                some = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(total))
+            for at in range(0, batch.num_rows, 1024):
+                raw = b"".join(batch.column(0).slice(at, 1024).to_pylist())
+                some = np.bincount(np.frombuffer(raw, kind), minlength=len(total))
                 some[: len(total)] += total
                 total = some
         found = np.flatnonzero(total)
@@ -135,8 +143,10 @@ def write_token_files(docs: DataFrame, where: str, path: str | None = None, end_
     """Writes the files of all documents under `where`. Returns a row for each file (name, docs, tokens, and start: the
     ids of all documents in the files before it), in order."""
     spark = docs.sparkSession
-    tokens = materialize(token_table(docs, path, end_id), "tokens")
-    by_rank = frequency_ranks(tokens)
+    kind = id_type(path, end_id)
+    wide = int(kind[-1])
+    tokens = materialize(token_table(docs, kind, path, end_id), "tokens")
+    by_rank = frequency_ranks(tokens, kind)
     if not len(by_rank):
         return []
     fs, folder = filesystem(where)
@@ -165,7 +175,7 @@ def write_token_files(docs: DataFrame, where: str, path: str | None = None, end_
 
         def flush():
             if state["docs"]:
-                write_block(state["out"], state["docs"], state["counts"], ranks.value[np.frombuffer(b"".join(state["raw"]), "<u4")])
+                write_block(state["out"], state["docs"], state["counts"], ranks.value[np.frombuffer(b"".join(state["raw"]), kind)])
             state.update(docs=[], counts=[], raw=[], held=0)
 
         for batch in batches:
@@ -175,7 +185,7 @@ def write_token_files(docs: DataFrame, where: str, path: str | None = None, end_
                         yield done
                     own = f"{folder}/.part-{bucket:05d}-{uuid.uuid4().hex}"
                     state = {"bucket": bucket, "own": own, "out": fs.open_output_stream(own), "docs": [], "counts": [], "raw": [], "held": 0, "n_docs": 0, "n_tokens": 0}
-                n = len(raw) // 4
+                n = len(raw) // wide
                 state["docs"].append(doc)
                 state["counts"].append(n)
                 state["raw"].append(raw)

@@ -2,9 +2,11 @@
 
 A byte-level BPE with the usual splitting pattern never lets a token cross a place where a single space stands between
 two characters that are not white space: the space opens the next split. A text is cut there, each distinct piece is
-encoded once by the library, and the ids of a text are those of its pieces in order. Pieces of plain Latin letters and
-ASCII are cut into the pattern's splits first, which then go to the library's model one by one, each once. Texts that
-spell a special token go to the library whole. The memo is bounded and belongs to one Python worker."""
+encoded once by the library, and the ids of a text are those of its pieces in order. Pieces are found, hashed (twice, 64
+bits each; both must agree) and made distinct over the bytes of many texts at once; only pieces that the memo lacks
+become strings. Of these, words of plain Latin letters with ASCII marks are cut into the pattern's splits first, which
+then go to the library's model one by one, each once. Texts that spell a special token, or hold white space beyond
+ASCII's, go to the library whole. The memo is bounded and belongs to one Python worker."""
 
 from __future__ import annotations
 
@@ -14,9 +16,8 @@ from itertools import repeat
 
 import numpy as np
 
-_UNSAFE = re.compile(r" \s|\s ")
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile(r"(?!')[\x21-\x7eÀ-ÖØ-öø-ÿ]+(?:\n[\x21-\x7eÀ-ÖØ-öø-ÿ]+)*\Z")
+_WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PLAIN = re.compile(r" (?!')[\x21-\x7eÀ-ÖØ-öø-ÿ]+(?:\n[\x21-\x7eÀ-ÖØ-öø-ÿ]+)*\Z")
 _SPLITS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[^\n0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\n")
 
 
@@ -30,7 +31,29 @@ def _spelling() -> dict[int, int]:
 _SPELLING = _spelling()
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
-MEMO_PIECES = 600_000
+MEMO_PIECES = 900_000
+SLICE = 3 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.ones(max(n, SLICE + (1 << 18)), np.uint64)
+            size = 1
+            while size < len(p):
+                m = min(size, len(p) - size)
+                p[size : size + m] = p[:m] * np.uint64(pow(b, size, 1 << 64))
+                size *= 2
+            both.append(p)
+        _POWERS[base] = both[0], both[1]
+    return _POWERS[base]
+
 
 
 def default_path() -> str:
@@ -40,7 +63,7 @@ def default_path() -> str:
 
 
 class Encoder:
-    """encode(texts) gives (ids, ends): all ids in one array, and where each text's ids end."""
+    """A tokenizer file's ids for texts; see encode()."""
 
     def __init__(self, path: str):
         import os
@@ -54,7 +77,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[int, int] = {}
+        self.check: array = array("Q")
         self.parts: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
@@ -70,83 +94,118 @@ class Encoder:
     def _ids(self, spelt: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
-    def _learn(self, keys: list[str]) -> None:
-        """A key is a piece after a space; with a leading space it is a text's own beginning, without that space.
-
-        Pieces of plain letters and ASCII are cut into the pattern's splits here and their splits remembered as well;
-        the library cuts others itself."""
-        found, whole, parts, tails = {}, [], self.parts, self.tails
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Pieces of plain letters and ASCII are cut into the pattern's splits here and their
+        splits remembered; the library cuts others itself."""
+        found: list = [None] * len(pieces)
+        whole, parts, tails = [], self.parts, self.tails
         plain, cut, latin, keep = _PLAIN.match, _SPLITS.findall, _LATIN.match, len(self.parts) < MEMO_PIECES * 2 // 3
-        for key in keys:
-            word = key.rstrip(_MARKS)
-            if word.isalpha() and (word.isascii() or latin(word)):  # a word, and marks that don't begin a contraction
-                got = parts.get(word)
+        for k, piece in enumerate(pieces):
+            word = piece.rstrip(_MARKS)
+            if piece[0] == " " and (bare := word[1:]).isalpha() and (bare.isascii() or latin(bare)):  # a word, and marks that don't begin a contraction
+                got = parts.get(bare)
                 if got is None:
-                    got = self._ids("\u0120" + (word if word.isascii() else self._spell(word)))
+                    got = self._ids("\u0120" + (bare if bare.isascii() else self._spell(bare)))
                     if keep:
-                        parts[word] = got
-                if len(word) == len(key):
-                    found[key] = got
-                else:
-                    tail = key[len(word) :]
+                        parts[bare] = got
+                if len(word) != len(piece):
+                    tail = piece[len(word) :]
                     end = tails.get(tail)
                     if end is None:
                         end = self._ids(tail)
                         if len(tails) < MEMO_PIECES // 100:
                             tails[tail] = end
-                    found[key] = got + end
-            elif plain(key):
-                splits = cut(key)
+                    got = got + end
+                found[k] = got
+            elif plain(piece):
+                splits = cut(piece, 1)
                 splits[0] = " " + splits[0]
-                found[key] = b"".join([self._ids(self._spell(part)) for part in splits])
+                found[k] = b"".join([self._ids(self._spell(part)) for part in splits])
             else:
-                whole.append(key)
+                whole.append(k)
         if whole:
-            for key, ids in zip(whole, self._raw([k[1:] if k[:1] == " " else " " + k for k in whole]), strict=True):
-                found[key] = array("I", ids).tobytes()
-        sizes = np.fromiter(map(len, found.values()), np.int64, len(found)) // 4
-        self.at.update(zip(found, range(len(self.starts), len(self.starts) + len(found)), strict=True))
-        self.starts.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).tobytes())
-        self.sizes.frombytes(sizes.tobytes())
-        self.flat.frombytes(b"".join(found.values()))
+            for k, ids in zip(whole, self._raw([pieces[k] for k in whole]), strict=True):
+                found[k] = array("I", ids).tobytes()
+        return found
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        pieces: list[str] = []
-        ends = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                if any(s in text for s in self.special):
-                    cut = [text]
-                elif _UNSAFE.search(text):
-                    cut = _SAFE_CUT.split(text)
-                else:
-                    cut = text.split(" ")
-                cut[0] = " " + cut[0]
-                pieces += cut
-            ends[k] = len(pieces)
-        if not pieces:
-            return np.empty(0, np.uint32), ends
+        """All ids of the texts in one array, and where each text's end."""
+        out, sizes, some, size = [], [], [], 0
+        for text in texts:
+            if text and (_WIDE_SPACE.search(text) or any(s in text for s in self.special)):
+                if some:
+                    self._encode(some, out, sizes)
+                    some, size = [], 0
+                ids = np.array(self._raw([text])[0], np.uint32)
+                out.append(ids)
+                sizes.append(np.array([len(ids)], np.int64))
+                continue
+            some.append((text or "").encode())
+            size += len(some[-1])
+            if size > SLICE:
+                self._encode(some, out, sizes)
+                some, size = [], 0
+        if some:
+            self._encode(some, out, sizes)
+        return np.concatenate([np.empty(0, np.uint32), *out]), np.cumsum(np.concatenate([np.empty(0, np.int64), *sizes]))
+
+    def _encode(self, raws: list[bytes], out: list, out_sizes: list) -> None:
+        ends = np.cumsum([len(r) for r in raws])
+        buffer = b"".join(raws)
+        if not buffer:
+            out_sizes.append(np.zeros(len(raws), np.int64))
+            return
+        b = np.frombuffer(buffer, np.uint8)
+        blank = _BLANK[b]
+        cut = b == 0x20
+        cut[1:] &= ~blank[:-1]
+        cut[:-1] &= ~blank[1:]
+        begins = np.concatenate(([0], ends[:-1]))
+        cut[begins[begins < len(b)]] = True
+        starts = np.flatnonzero(cut)
+        stops = np.append(starts[1:], len(b))
+        octets = b.astype(np.uint64) + np.uint64(1)
+        names = []
+        for base in _BASES:
+            power, inverse = _powers(base, len(b) + 1)
+            sums = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(octets * power[: len(b)], out=sums[1:])
+            names.append((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+        name, first, index = np.unique(names[0], return_index=True, return_inverse=True)
+        check = names[1][first]
+        place = np.fromiter(map(self.at.get, name.tolist(), repeat(-1)), np.int64, len(name))
         kept = len(self.starts), len(self.flat)
-        index = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
-        absent = np.flatnonzero(index < 0).tolist()
-        new = dict.fromkeys(pieces[i] for i in absent)
-        if new:
-            self._learn(list(new))
-            index[absent] = [self.at[pieces[i]] for i in absent]
-        starts, sizes, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64), np.frombuffer(self.flat, np.uint32)
-        n = sizes[index]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(starts[index] - (upto - n), n) + np.arange(upto[-1])]
-        del starts, sizes, flat
-        if len(self.at) > MEMO_PIECES:  # full: what came first is the frequent part; this batch's pieces go again
-            for key in new:
-                del self.at[key]
-            del self.starts[kept[0] :], self.sizes[kept[0] :], self.flat[kept[1] :]
+        known = np.flatnonzero(place >= 0)
+        if len(known):  # a piece of another's hash is encoded anew
+            place[known[np.frombuffer(self.check, np.uint64)[place[known]] != check[known]]] = -1
+        absent = np.flatnonzero(place < 0)
+        if len(absent):
+            a, z = starts[first[absent]].tolist(), stops[first[absent]].tolist()
+            ids = self._learn([buffer[i:j].decode() for i, j in zip(a, z, strict=True)])
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            place[absent] = np.arange(len(self.starts), len(self.starts) + len(ids))
+            self.starts.frombytes((len(self.flat) + np.cumsum(n) - n).tobytes())
+            self.sizes.frombytes(n.tobytes())
+            self.check.frombytes(check[absent].tobytes())
+            self.flat.frombytes(b"".join(ids))
+        at, n, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64), np.frombuffer(self.flat, np.uint32)
+        place = place[index]
+        if (names[1] != check[index]).any():  # two pieces of one hash in this slice: the library encodes its texts
+            got = [np.array(x, np.uint32) for x in self._raw([r.decode() for r in raws])]
+            out.append(np.concatenate(got))
+            out_sizes.append(np.array([len(x) for x in got], np.int64))
         else:
-            for key in new:
-                if len(key) > 200:
-                    del self.at[key]
-        return ids, np.concatenate(([0], upto))[ends]
+            each = n[place]
+            upto = np.cumsum(each)
+            out.append(flat[np.repeat(at[place] - (upto - each), each) + np.arange(upto[-1])])
+            total = np.concatenate(([0], upto))
+            out_sizes.append(np.diff(total[np.searchsorted(starts, ends)], prepend=0))
+        del at, n, flat
+        if len(absent):
+            if kept[0] > MEMO_PIECES:  # full: what came first is the frequent part; this slice's pieces go again
+                del self.starts[kept[0] :], self.sizes[kept[0] :], self.check[kept[0] :], self.flat[kept[1] :]
+            else:
+                self.at.update(zip(name[absent].tolist(), range(kept[0], kept[0] + len(absent)), strict=True))
 
 
 _MEMO: dict[str, Encoder] = {}
