@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import caps, fingerprints, jaccard, mixing, packing, quality, token_files, toxicity, warc
+from . import caps, fingerprints, jaccard, mixing, packing, quality, secrets, token_files, toxicity, warc
 
 QUERIES = {
     "op1_syncmers": fingerprints.op1_syncmers,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality": quality.op7_quality,
     "op8_token_files": token_files.op8_token_files,
+    "op9_secrets": secrets.op9_secrets,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLES = {
