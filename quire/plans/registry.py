@@ -1,7 +1,8 @@
-"""Queries over the engine's operators, by name, and the SQL they are checked against."""
+"""All queries over the engine's operators, by name, and the SQL they are checked against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from . import explore  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "corpora"
