@@ -18,6 +18,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case words of a text, in order: letters, digits, `_'-`, without `_'-` at the ends."""
     found = F.regexp_extract_all(F.lower(_c(text)), F.lit(f"({WORD})"), 1)
@@ -43,15 +48,22 @@ def sentences(text: Column | str) -> Column:
 
 
 def ngrams(words: Column, n: int, separator: str = " ") -> Column:
-    spans = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(spans, lambda i: F.array_join(F.slice(words, i, n), separator))
+    def of(w: Column) -> Column:
+        spans = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(spans, lambda i: F.array_join(F.slice(w, i, n), separator))
+
+    return let(words, of)
 
 
 def fixed_slices(words: Column, n: int) -> Column:
     """Consecutive slices of n words; a shorter rest is dropped."""
-    whole = F.floor(F.size(words) / n).cast("int")
-    spans = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(spans, lambda i: F.slice(words, i * n + 1, n))
+
+    def of(w: Column) -> Column:
+        whole = F.floor(F.size(w) / n).cast("int")
+        spans = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spans, lambda i: F.slice(w, i * n + 1, n))
+
+    return let(words, of)
 
 
 def paragraphs(text: Column | str) -> Column:
@@ -83,13 +95,16 @@ def normalize_title(title: Column | str, modern: Column | None = None) -> Column
     t = F.regexp_replace(t, rf"(?U)\b({'|'.join(V.ABBREVIATIONS)})\.(\s|$)", "$1 ")
     if modern is not None:
         t = F.array_join(F.transform(whitespace_words(t), lambda w: F.coalesce(modern[w], w)), " ")
-    cut = F.trim(F.regexp_extract(t, r"^([^;:.(\[,!?]*)", 1))
-    phrase_cut = t
-    for phrase in reversed(V.TITLE_END_PHRASES):
-        phrase_cut = F.when(F.instr(t, phrase) > 4, F.trim(F.substring_index(t, phrase, 1))).otherwise(phrase_cut)
-    t = F.when(t.rlike(r"[;:.(\[,!?]"), cut).otherwise(phrase_cut)
-    t = F.trim(F.regexp_replace(F.rtrim(t, F.lit(". ")), r"\s+", " "))
-    return F.when((F.length(t) > 1) & (_c(title) != "nan"), t)
+    phrases = F.array(*[F.lit(p) for p in V.TITLE_END_PHRASES])
+
+    def ended(t: Column) -> Column:
+        at_mark = F.trim(F.regexp_extract(t, r"^([^;:.(\[,!?]*)", 1))
+        phrase = F.get(F.filter(phrases, lambda p: F.position(p, t) > 4), F.lit(0))
+        at_phrase = let(phrase, lambda p: F.when(p.isNotNull(), F.trim(F.substring(t, F.lit(1), (F.position(p, t) - 1).cast("int")))).otherwise(t))
+        return F.when(t.rlike(r"[;:.(\[,!?]"), at_mark).otherwise(at_phrase)
+
+    t = F.trim(F.regexp_replace(F.rtrim(let(t, ended), F.lit(". ")), r"\s+", " "))
+    return let(t, lambda t: F.when((F.length(t) > 1) & (_c(title) != "nan"), t))
 
 
 def normalize_author(author: Column | str) -> Column:
