@@ -15,7 +15,18 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
+#: Rows of texts that pass between the JVM and Python at once, unless the session asks for another number.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: Spark's 10,000 rows a batch take hundreds of megabytes outside the heap."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -39,6 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     The path is kept on the result as .quire_path, for drop()."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    small_batches(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quire_path = path

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -58,17 +57,18 @@ def features(text: str | None, dims: int = DIMS, orders: tuple = ORDERS) -> np.n
     return x[np.concatenate(([True], x[1:] != x[:-1]))].astype(np.int32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, dims: int = DIMS, smooth: float = SMOOTH, penalty: float = PENALTY, steps: int = STEPS) -> dict:
-    """The weight of each feature (scale times coefficient) and the bias."""
+def fit(texts: list[str | None], labels: np.ndarray, dims: int = DIMS, orders: tuple = ORDERS, smooth: float = SMOOTH, penalty: float = PENALTY, steps: int = STEPS) -> dict:
+    """The weight of each feature (scale times coefficient) and the bias. Features are made twice, first to be counted,
+    then without those of scale 0: only telling ones are held."""
     rate = float(labels.mean()) if len(labels) else 0.0
     if rate in (0.0, 1.0):
         return {"weights": np.zeros(dims, np.float32), "bias": 0.0, "rate": rate}
     p, q = np.full(dims, smooth), np.full(dims, smooth)
-    for x, y in zip(rows, labels, strict=True):
-        (p if y == 1 else q)[x] += 1
+    for t, y in zip(texts, labels, strict=True):
+        (p if y == 1 else q)[features(t, dims, orders)] += 1
     ratio = np.log(p / (labels.sum() + 2 * smooth)) - np.log(q / ((1 - labels).sum() + 2 * smooth))
     ratio[np.abs(ratio) < EVIDENCE * np.sqrt(1 / p + 1 / q)] = 0.0
-    rows = [x[ratio[x] != 0] for x in rows]
+    rows = [x[ratio[x] != 0] for x in (features(t, dims, orders) for t in texts)]
     flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
     value = ratio[flat].astype(np.float32)
     w, b = np.zeros(dims), float(np.log(rate / (1 - rate)))
@@ -119,13 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", learn=None,
     sample = materialize(sample_of(docs, labels, column, F.lit(True) if learn is None else learn, max_rows), "labelled")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, marks = [], []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows += [features(t, dims, orders) for t in batch.column(0).slice(at, 256).to_pylist()]
-            marks += batch.column(1).to_pylist()
-        order = sorted(range(len(rows)), key=lambda k: (marks[k], blake2b(rows[k].tobytes()).digest()))  # the same sums however rows arrive
-        model = fit([rows[k] for k in order], np.array([marks[k] for k in order]), dims) if rows else {"weights": np.zeros(dims, np.float32), "bias": 0.0, "rate": 0.0}
+        rows = sorted(((y, t or "") for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))  # the same sums however rows arrive
+        model = fit([t for _, t in rows], np.array([y for y, _ in rows]), dims, orders) if rows else {"weights": np.zeros(dims, np.float32), "bias": 0.0, "rate": 0.0}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     return pickle.loads(sample.coalesce(1).mapInArrow(fitted, "model binary").first()["model"])
