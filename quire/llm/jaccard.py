@@ -26,6 +26,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _POWERS: list[np.ndarray] = []
+WINDOW = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +59,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         _POWERS[:] = []
         for b in (_BASE, _INVERSE):
-            p = np.ones(max(n, 1 << 20), np.uint64)
+            p = np.ones(max(n, WINDOW + (1 << 17)), np.uint64)
             size = 1
             while size < len(p):
                 m = min(size, len(p) - size)
@@ -67,19 +70,36 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z in lower case, and where each text's words end."""
+    """Hashes of all words, A-Z in lower case, and where each text's words end. Long buffers are hashed in windows."""
     raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    lengths = np.array([len(r) + 1 for r in raws], np.int64)
-    b = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+    ends_at = np.cumsum([len(r) + 1 for r in raws]) - 1
+    buffer = b"\n".join([*raws, b""])
+    hashes, places, at = [], [], 0
+    while at < len(buffer):
+        cut = _BLANK.search(buffer, at + WINDOW)
+        end = cut.start() if cut else len(buffer)
+        h, starts = _hashed(np.frombuffer(buffer, np.uint8, end - at, at))
+        hashes.append(h)
+        places.append(starts + at)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), ends_at)
+
+
+def _hashed(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words of some bytes."""
     space = _SPACE[b]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(b) and not space[0]:
+    if not space[0]:
         edge = np.concatenate(([0], edge))
+    if not space[-1]:
+        edge = np.append(edge, len(b))
     starts, ends = edge[::2], edge[1::2]
     power, inverse = _powers(len(b) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])))
-    h = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, np.cumsum(lengths) - 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:

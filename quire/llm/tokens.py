@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SAFE_CUT = re.compile(rb"(?<=[^\x09-\x0d\x20]) (?=[^\x09-\x0d\x20])")
 _PLAIN = re.compile(r" (?!')[\x21-\x7eÀ-ÖØ-öø-ÿ]+(?:\n[\x21-\x7eÀ-ÖØ-öø-ÿ]+)*\Z")
 _SPLITS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[^\n0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\n")
 
@@ -31,8 +33,8 @@ def _spelling() -> dict[int, int]:
 _SPELLING = _spelling()
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
-MEMO_PIECES = 900_000
-SLICE = 3 << 20
+MEMO_PIECES = 400_000
+SLICE = 3 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -99,7 +101,7 @@ class Encoder:
         splits remembered; the library cuts others itself."""
         found: list = [None] * len(pieces)
         whole, parts, tails = [], self.parts, self.tails
-        plain, cut, latin, keep = _PLAIN.match, _SPLITS.findall, _LATIN.match, len(self.parts) < MEMO_PIECES * 2 // 3
+        plain, cut, latin, keep = _PLAIN.match, _SPLITS.findall, _LATIN.match, len(self.parts) < MEMO_PIECES // 2
         for k, piece in enumerate(pieces):
             word = piece.rstrip(_MARKS)
             if piece[0] == " " and (bare := word[1:]).isalpha() and (bare.isascii() or latin(bare)):  # a word, and marks that don't begin a contraction
@@ -140,8 +142,18 @@ class Encoder:
                 out.append(ids)
                 sizes.append(np.array([len(ids)], np.int64))
                 continue
-            some.append((text or "").encode())
-            size += len(some[-1])
+            raw = (text or "").encode()
+            if len(raw) > SLICE:
+                if some:
+                    self._encode(some, out, sizes)
+                    some, size = [], 0
+                each: list[np.ndarray] = []
+                for part in _parts(raw):
+                    self._encode([part], out, each)
+                sizes.append(np.concatenate(each).sum(keepdims=True))
+                continue
+            some.append(raw)
+            size += len(raw)
             if size > SLICE:
                 self._encode(some, out, sizes)
                 some, size = [], 0
@@ -208,6 +220,16 @@ class Encoder:
                 self.at.update(zip(name[absent].tolist(), range(kept[0], kept[0] + len(absent)), strict=True))
 
 
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A long text cut where a split begins, into parts of about a slice."""
+    at = 0
+    while at < len(raw):
+        cut = _SAFE_CUT.search(raw, at + SLICE)
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 _MEMO: dict[str, Encoder] = {}
 
 
