@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import explore, matching, structure, words  # noqa: F401
+from . import events, explore, matching, structure, words  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "ngram_decade"

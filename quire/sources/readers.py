@@ -88,7 +88,7 @@ def frequencies(spark: SparkSession, folder: str) -> DataFrame:
 def tsv_frequencies(spark: SparkSession, path: str) -> DataFrame:
     """word, count of lines 'word<TAB>count', summed."""
     raw = spark.read.text(path).select(F.split("value", "\t").alias("p"))
-    return raw.select(F.lower(F.col("p")[0]).alias("word"), F.col("p")[1].try_cast("bigint").alias("n")).where("n is not null").groupBy("word").agg(F.sum("n").alias("count"))
+    return raw.select(F.lower(F.col("p")[0]).alias("word"), F.get("p", F.lit(1)).try_cast("bigint").alias("n")).where("n is not null").groupBy("word").agg(F.sum("n").alias("count"))
 
 
 def spelling_map(spark: SparkSession, path: str) -> DataFrame:
