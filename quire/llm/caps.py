@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dimension, materialize, read
+from .common import dimension, lean, materialize, read
 from .graph import components
 
 THRESHOLD = 0.95
@@ -116,7 +116,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, listed: in
             names = pa.array([None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in good], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=["vec_id", "embedding", "name"])
 
-    rows = materialize(rows.mapInArrow(named, "vec_id long, embedding array<double>, name string"), "vectors")
+    rows = materialize(rows.mapInArrow(lean(named), "vec_id long, embedding array<double>, name string"), "vectors")
     reps = rows.where("name is not null").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"))
     reps = materialize(reps.withColumn("dims", F.size("embedding")), "distinct")
     n = reps.count()
@@ -138,7 +138,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, listed: in
                         lists[k] = found.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, pa.list_(pa.int64()))], names=["rep", "copies", "embedding", "dims", "directions"])
 
-    listings = materialize(reps.select("rep", "copies", "embedding", "dims").mapInArrow(listing, "rep long, copies long, embedding array<double>, dims int, directions array<long>"), "directions")
+    listings = materialize(reps.select("rep", "copies", "embedding", "dims").mapInArrow(lean(listing), "rep long, copies long, embedding array<double>, dims int, directions array<long>"), "directions")
     spread = listings.select("*", F.explode("directions").alias("direction"))
     sizes = listings.select("dims", F.explode("directions").alias("direction")).groupBy("dims", "direction").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes.withColumn("chunks", F.ceil(F.col("n") / CELL).cast("int")), "sizes")
@@ -182,7 +182,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, listed: in
         if out:
             yield batch_of(out)
 
-    found = materialize(dealt.mapInArrow(linked, "rep long, links long, root long"), "found")
+    found = materialize(dealt.mapInArrow(lean(linked), "rep long, links long, root long"), "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("rep <> root").select(F.col("rep").alias("x"), F.col("root").alias("y")))
     per_name = reps.select("name", "rep", "copies").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")

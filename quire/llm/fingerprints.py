@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, id_bounds, mix64, read
+from .common import bucket_of, id_bounds, lean, mix64, read
 
 K, S = 16, 6
 SKETCH = 64
@@ -115,7 +115,7 @@ def anchors(docs: DataFrame, text: str = "text", k: int = K, s: int = S) -> Data
             found = [closed_syncmers(t, k, s) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["doc_id", "places", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(made, "doc_id long, places array<long>, hashes array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(lean(made), "doc_id long, places array<long>, hashes array<long>")
 
 
 def in_runs(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
@@ -171,7 +171,7 @@ def neighbours(docs: DataFrame, text: str = "text", k: int = K, s: int = S, size
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=list(names))
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_runs(docs, text, run).mapInArrow(compared, schema)
+    return in_runs(docs, text, run).mapInArrow(lean(compared), schema)
 
 
 def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dimension, drop, materialize, mix64, read
+from .common import dimension, drop, lean, materialize, mix64, read
 from .graph import components
 
 WORDS = 5
@@ -51,7 +51,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _POWERS: list[np.ndarray] = []
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +197,13 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np
                 for x in shingle_sets(batch.column(0).slice(at, 1024).to_pylist(), words):
                     held.append(x)
                     n += len(x)
-                if n > 2_000_000:
+                if n > 1_000_000:
                     yield often()
                     held, n = [], 0
         if held:
             yield often()
 
-    total = docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    total = docs.select("text").mapInArrow(lean(counted), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = sorted((r["token"] % (1 << 64), r["n"]) for r in total.orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect())
     return np.array([t for t, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
 
@@ -231,7 +231,7 @@ def hot_keys(docs: DataFrame, frequent, words: int, threshold: int) -> tuple[dic
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array([*keys, *names], pa.binary()), pa.array([None] * len(keys) + [low for low, _ in names.values()], pa.int64()), pa.array([*keys.values(), *(n for _, n in names.values())], pa.int64())], names=["name", "low", "n"])
 
-    total = docs.select("doc_id", "text").mapInArrow(counted, "name binary, low long, n long").groupBy("name").agg(F.min("low").alias("low"), F.sum("n").alias("n")).where(F.col("n") > COPIES)
+    total = docs.select("doc_id", "text").mapInArrow(lean(counted), "name binary, low long, n long").groupBy("name").agg(F.min("low").alias("low"), F.sum("n").alias("n")).where(F.col("n") > COPIES)
     total = materialize(total, "keys")
     rows = total.agg(F.sum("n")).first()[0] or 0
     hot = total.where(F.col("n") > F.greatest(F.lit(rows // 50_000), F.when(F.col("low").isNull(), CHUNK).otherwise(COPIES))).collect()
@@ -345,9 +345,9 @@ def grouped(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
         if out:
             yield batch_of(out)
 
-    rows = docs.mapInArrow(keyed, "key long, salt long, doc_id long, text string, low long, n long")
+    rows = docs.mapInArrow(lean(keyed), "key long, salt long, doc_id long, text string, low long, n long")
     dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(dealt.mapInArrow(linked, GROUPS), "groups")
+    return materialize(dealt.mapInArrow(lean(linked), GROUPS), "groups")
 
 
 def qualifying(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -421,7 +421,7 @@ def opened(pairs: DataFrame, groups: DataFrame, docs: DataFrame, words: int, thr
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["x", "y"])
 
-    out = materialize(cells.mapInArrow(compared, "x long, y long").distinct(), "links")
+    out = materialize(cells.mapInArrow(lean(compared), "x long, y long").distinct(), "links")
     for df in (wanted, sets, texts):
         drop(df)
     return out

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, crc_mod, dimension, materialize, read  # noqa: F401
+from .common import SPACE_CLASS, dimension, fresh, materialize, read
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -69,8 +69,9 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     part (words of the last, partial one) and part_start (its first word, counted from 0; the window wraps round)."""
     added = ("size", "source_size", "target", "taken", "whole", "part", "part_start")
     sized = docs.drop(*added).withColumn("size", n_words(text)) if sized is None else sized
-    by_source = materialize(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs), "sources").withColumnRenamed("source", "_of")
-    joined = sized.join(dimension(by_source), sized["source"].eqNullSafe(by_source["_of"]), "left").drop("_of")
+    of = fresh(sized, "_of")
+    by_source = materialize(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs), "sources").withColumnRenamed("source", of)
+    joined = sized.join(dimension(by_source), sized["source"].eqNullSafe(by_source[of]), "left").drop(of)
     want = F.when(F.col("source_size") > 0, F.col("size") * F.col("target") / F.col("source_size")).otherwise(0.0)
     taken = F.least(F.floor(want + draw("doc_id", seed)), F.col("size") * max_epochs).cast("long")
     return (
@@ -86,12 +87,13 @@ def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     words of its window joined by single spaces. n_chars, where there, is that of the row's text."""
     names = docs.columns
     mixed = mix_sources(docs, text=text, **how)
+    copy = fresh(mixed, "_copy")
     words = F.filter(F.split(F.col(text), SPACE_CLASS), lambda x: x != "")
     twice = F.concat(words, words)
     window = F.array_join(F.slice(twice, (F.col("part_start") + 1).cast("int"), F.col("part").cast("int")), " ")
     copies = F.concat(F.sequence(F.lit(1), F.lit(int(how.get("max_epochs", MAX_EPOCHS)))), F.array(F.lit(0)))
-    out = mixed.withColumn("_copy", F.explode(F.filter(copies, lambda k: ((k > 0) & (k <= F.col("whole"))) | ((k == 0) & (F.col("part") > 0)))))
-    out = out.withColumn(text, F.when(F.col("_copy") == 0, window).otherwise(F.col(text)))
+    out = mixed.withColumn(copy, F.explode(F.filter(copies, lambda k: ((k > 0) & (k <= F.col("whole"))) | ((k == 0) & (F.col("part") > 0)))))
+    out = out.withColumn(text, F.when(F.col(copy) == 0, window).otherwise(F.col(text)))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import lean, read
 from .tokens import default_path, encoder
 
 LENGTH = 2048
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         if ids:
             yield emit()
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(packed, schema)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(packed), schema)
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, read
+from .common import crc_mod, lean, materialize, read
 
 NAMES = ("words", "word_length", "upper", "digits", "stops", "symbols", "pipes", "bangs", "foreign", "entropy", "distinct", "commonest", "trigrams", "line_length", "repeated_lines", "longest_word")
 TOWARDS_POOLED, TOWARDS_DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
@@ -79,7 +79,7 @@ def statistics_table(docs: DataFrame, text: str = "text") -> DataFrame:
                 x = pa.array([statistics(t) for t in some.column(1).to_pylist()], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([some.column(0), x], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(made, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(lean(made), "doc_id long, x array<double>")
 
 
 def class_moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -97,7 +97,7 @@ def class_moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.
         c, k = np.divmod(np.arange(total.size), total.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(k), pa.array(total.ravel())], names=["label", "k", "v"])
 
-    rows = labelled.mapInArrow(summed, "label long, k long, v double").groupBy("label", "k").agg(F.sum("v").alias("v")).collect()
+    rows = labelled.mapInArrow(lean(summed), "label long, k long, v double").groupBy("label", "k").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 1 + d + d * d))
     for r in rows:
         total[r["label"], r["k"]] = r["v"]
@@ -147,7 +147,7 @@ def score_table(stats: DataFrame, labels: DataFrame, column: str, learn) -> Data
             got = np.round(apply(held.value, np.array(batch.column(1).to_pylist(), float).reshape(-1, len(NAMES))), 12)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return stats.mapInArrow(scored, "doc_id long, score double, predicted int")
+    return stats.mapInArrow(lean(scored), "doc_id long, score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

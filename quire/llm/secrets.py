@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dimension, materialize, read
+from .common import dimension, fresh, materialize, read
 
 LEAST = 16
 CHARS = r"A-Za-z0-9_+/=.\-"
@@ -148,10 +148,14 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 
+#: Columns of these names are replaced by the scan's own.
+RESERVED = ("start", "finding", "left", "right", "cuts", "ends", "low", *NAMES, "features", "rawPrediction", "probability", "prediction", "score", "predicted")
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of docs but the text, and start (code points), finding, left and right of each candidate."""
     scanned = F.translate(F.col(text), CUT, " ")
-    kept = [F.col(c) for c in docs.columns if c not in (text, "start", "finding", "left", "right")]
+    kept = [F.col(c) for c in docs.columns if c != text and c not in RESERVED]
     hits = docs.where(F.col(text).rlike(CANDIDATE)).select(*kept, F.split(F.regexp_replace(scanned, f"({CANDIDATE})", f"{CUT}$1{CUT}"), CUT).alias("cuts"))
     # cuts alternate: between, candidate, between, ...; ends are the running sums of their lengths
     ends = F.aggregate("cuts", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
@@ -180,16 +184,16 @@ def scan(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
 def redacted(docs: DataFrame, model, text: str = "text", mark: str = MARK) -> DataFrame:
     """docs with each secret's text replaced by a mark; rows and other columns stay (n_chars is the new length)."""
-    keyed = docs.select("doc_id", text).withColumn("_key", F.xxhash64(text))
-    found = scan(keyed, model, text).where("predicted = 1").groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set(F.struct("start", F.length("finding").alias("size")))).alias("_spans"))
-    found = materialize(found.withColumnRenamed("doc_id", "_id"), "findings")
-    out = docs.withColumn("_key0", F.xxhash64(text))
-    out = out.join(dimension(found), out["doc_id"].eqNullSafe(found["_id"]) & (out["_key0"] == found["_key"]), "left")
+    id_, key, own, spans = (fresh(docs, n) for n in ("_id", "_key", "_own", "_spans"))
+    keyed = docs.select("doc_id", F.col(text).alias("text")).withColumn("_key", F.xxhash64("text"))
+    found = scan(keyed, model).where("predicted = 1").groupBy(F.col("doc_id").alias(id_), F.col("_key").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", F.length("finding").alias("size")))).alias(spans))
+    found = dimension(materialize(found, "findings"))
+    out = docs.withColumn(own, F.xxhash64(text)).join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left")
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("at"))
-    cut = F.aggregate("_spans", empty, lambda a, s: F.struct(F.concat(a["done"], F.array(F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("done"), (s["start"] + s["size"]).alias("at")), lambda a: F.concat(F.array_join(a["done"], ""), F.substring(F.col(text), a["at"] + 1, F.length(text))))
-    out = out.withColumn(text, F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text)))
+    cut = F.aggregate(spans, empty, lambda a, s: F.struct(F.concat(a["done"], F.array(F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("done"), (s["start"] + s["size"]).alias("at")), lambda a: F.concat(F.array_join(a["done"], ""), F.substring(F.col(text), a["at"] + 1, F.length(text))))
+    out = out.withColumn(text, F.when(F.col(spans).isNotNull(), cut).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

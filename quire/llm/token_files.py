@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, drop, id_bounds, materialize, read, scratch
+from .common import bucket_of, drop, id_bounds, lean, materialize, read, scratch
 from .tokens import default_path, encoder
 
 END_ID = 0
@@ -118,7 +118,7 @@ def token_table(docs: DataFrame, kind: str, path: str | None = None, end_id: int
                 raw = [flat[a:b].tobytes() + end for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // len(end) for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(encoded), "doc_id long, n long, ids binary")
 
 
 def frequency_ranks(tokens: DataFrame, kind: str) -> np.ndarray:
@@ -135,7 +135,7 @@ def frequency_ranks(tokens: DataFrame, kind: str) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(lean(counted), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, where: str, path: str | None = None, end_
         if done := close():
             yield done
 
-    files = [r.asDict() for r in dealt.select("doc_id", "ids", "bucket").mapInArrow(written, "bucket long, name string, docs long, tokens long").collect()]
+    files = [r.asDict() for r in dealt.select("doc_id", "ids", "bucket").mapInArrow(lean(written), "bucket long, name string, docs long, tokens long").collect()]
     start = 0
     for f in sorted(files, key=lambda f: f["bucket"]):
         f["start"], start = start, start + f["tokens"]
@@ -230,7 +230,7 @@ def read_token_files(spark: SparkSession, where: str, files: list[dict], with_id
                         start += int(ends[-1]) if len(ends) else 0
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return listed.mapInArrow(decoded, schema)
+    return listed.mapInArrow(lean(decoded), schema)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,28 +34,28 @@ _SPELLING = _spelling()
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
 MEMO_PIECES = 400_000
-SLICE = 3 << 19
+SLICE = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = 0x9E3779B97F4A7C15
+#: What a byte counts in each of the two hashes.
+_VALUES = np.random.default_rng(20_240_611).integers(1, 1 << 63, (2, 256), np.uint64) | np.uint64(1)
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of an odd number and of its inverse, modulo 2 ** 64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse, modulo 2 ** 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.ones(max(n, SLICE + (1 << 18)), np.uint64)
             size = 1
             while size < len(p):
                 m = min(size, len(p) - size)
                 p[size : size + m] = p[:m] * np.uint64(pow(b, size, 1 << 64))
                 size *= 2
-            both.append(p)
-        _POWERS[base] = both[0], both[1]
-    return _POWERS[base]
-
+            _POWERS.append(p)
+    return _POWERS[0], _POWERS[1]
 
 
 def default_path() -> str:
@@ -176,12 +176,11 @@ class Encoder:
         cut[begins[begins < len(b)]] = True
         starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], len(b))
-        octets = b.astype(np.uint64) + np.uint64(1)
+        power, inverse = _powers(len(b) + 1)
         names = []
-        for base in _BASES:
-            power, inverse = _powers(base, len(b) + 1)
+        for value in _VALUES:
             sums = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(octets * power[: len(b)], out=sums[1:])
+            np.cumsum(value[b] * power[: len(b)], out=sums[1:])
             names.append((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
         name, first, index = np.unique(names[0], return_index=True, return_inverse=True)
         check = names[1][first]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import crc_mod, materialize, read
+from .common import crc_mod, lean, materialize, read
 
 DIMS = 1 << 18
 ORDERS = (3, 4, 5)
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", learn=None,
         model = fit([t for _, t in rows], np.array([y for y, _ in rows]), dims, orders) if rows else {"weights": np.zeros(dims, np.float32), "bias": 0.0, "rate": 0.0}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.coalesce(1).mapInArrow(fitted, "model binary").first()["model"])
+    return pickle.loads(sample.coalesce(1).mapInArrow(lean(fitted), "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", dims: int = DIMS, orders: tuple = ORDERS) -> DataFrame:
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", dims: int = DIMS, or
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=names)
 
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return kept.mapInArrow(scored, schema)
+    return kept.mapInArrow(lean(scored), schema)
 
 
 def train_from(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> dict:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dimension, materialize, read, scratch
+from .common import dimension, lean, materialize, read, scratch
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -171,7 +171,7 @@ def read_archives(spark: SparkSession, where: str) -> DataFrame:
     parsed = _parsed(F.col("value"))
     narrow = pieces.select("file", "split", F.octet_length("value").cast("long").alias("bytes"), *[c.alias(n) for n, c in parsed.items()])
     schema = "file string, split long, bytes long, takes long, whole boolean, kind string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, at long, leaves long"
-    found = materialize(narrow.select("file", "split", "bytes", F.col("takes").cast("long").alias("takes"), *list(parsed)[1:]).mapInArrow(_contracted, schema), "candidates")
+    found = materialize(narrow.select("file", "split", "bytes", F.col("takes").cast("long").alias("takes"), *list(parsed)[1:]).mapInArrow(lean(_contracted), schema), "candidates")
     # Where each split's bytes begin: the sizes of the splits before it (a row a split)
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     base = found.groupBy("file", "split").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("size")).withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).select("file", "split", "base")
@@ -180,7 +180,7 @@ def read_archives(spark: SparkSession, where: str) -> DataFrame:
     entries = _entries(found, base)
     dealt = found.join(dimension(entries), ["file", "split"], "left").select("file", "split", "offset", "next", "entry", "whole", "kind", "page_id", "url", "refers_to", "payload_bytes", "payload_digest")
     dealt = dealt.repartition("file", "split").sortWithinPartitions("file", "split", "offset")
-    marked = materialize(dealt.mapInArrow(_marked, f"{', '.join(f'{n} {t}' for n, t in dealt.dtypes)}, reached boolean"), "marked")
+    marked = materialize(dealt.mapInArrow(lean(_marked), f"{', '.join(f'{n} {t}' for n, t in dealt.dtypes)}, reached boolean"), "marked")
     columns = ["file", "offset", "kind", "page_id", "url", "refers_to", "payload_bytes", "payload_digest"]
     records = marked.where("reached and whole").select(*columns)
     broken = marked.where("reached and not whole").select("file").distinct()
@@ -226,7 +226,7 @@ def _joined(pieces: DataFrame, marked: DataFrame, base: DataFrame, files: DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(offsets, pa.int64()), batch.column(4)], names=["file", "offset", "value"])
 
     rows = pieces.join(dimension(files), "file", "left_semi").join(dimension(base), ["file", "split"]).select("file", "split", "base", F.octet_length("value").cast("long"), F.col("value").cast("binary").alias("value"))
-    rows = rows.mapInArrow(placed, "file string, offset long, value binary").join(owned, ["file", "offset"])
+    rows = rows.mapInArrow(lean(placed), "file string, offset long, value binary").join(owned, ["file", "offset"])
     whole = rows.groupBy("file", F.col("owner").alias("offset")).agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("p"))
     value = F.array_join(F.transform("p", lambda x: x["value"].cast("string")), MAGIC)
     return whole.select("file", "offset", value.alias("value")).select("file", "offset", *[c.alias(n) for n, c in _parsed(F.col("value")).items()])

@@ -1,0 +1,468 @@
+"""The ten queries against brute force, on a small table, on awkward rows and on none."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from awkward import DOCS, PAGES, VECTORS
+from oracle import DATA, connect, same
+
+from quire.llm import caps, fingerprints, jaccard, mixing, packing, quality, queries, secrets, token_files, tokens, toxicity, warc
+from quire.llm.common import scratch
+
+SMALL = f"{DATA}/sf0.001"
+PATH = tokens.default_path()
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return duckdb.connect().execute(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet' ORDER BY 1").fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    same(queries.QUERIES[name](spark, SMALL), connect(SMALL), queries.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["op2_mix_sources", "op10_jaccard", "op4_caps"])
+def test_sql_on_awkward_rows(spark, edge, name):
+    df = queries.QUERIES[name](spark, edge)
+    if name == "op2_mix_sources":
+        same(df, connect(edge), queries.ORACLES[name])
+    else:
+        assert df.count() == (len(DOCS) if name == "op10_jaccard" else len(VECTORS))
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert queries.QUERIES[name](spark, empty).count() == 0
+
+
+# 1. Fingerprints
+
+
+def neighbours_of(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    out = []
+    for k, (i, t) in enumerate(rows):
+        own, following = t or "", rows[(k + 1) % len(rows)][1] or ""
+        m = len(own) // 4
+        out.append((i, own, own[: len(own) - m] + following[:m], following))
+    return out
+
+
+def syncmers(text, k=fingerprints.K, s=fingerprints.S):
+    codes, whole = [ord(c) + 1 for c in text], (1 << 64) - 1
+
+    def h(window):
+        v = 0
+        for c in window:
+            v = (v * fingerprints._B + c) & whole
+        return int(fingerprints.mix64(np.array([v], np.uint64))[0])
+
+    found = []
+    for i in range(len(codes) - k + 1):
+        inner = [h(codes[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.append((i, h(codes[i : i + k])))
+    return found
+
+
+def test_syncmers_are_brute_force(docs):
+    for text in [docs[3][1][:400], "a" * 60, "ab" * 40, "é日🎉" * 20, "x" * fingerprints.K]:
+        at, hashes = fingerprints.closed_syncmers(text)
+        assert list(zip(at.tolist(), hashes.tolist(), strict=True)) == syncmers(text)
+    assert len(fingerprints.closed_syncmers("")[0]) == 0 and len(fingerprints.closed_syncmers("short")[0]) == 1
+
+
+def test_anchors_do_not_depend_on_context(docs):
+    text = docs[5][1][:1500]
+    inside = {h for p, h in zip(*fingerprints.closed_syncmers(text), strict=True)}
+    moved = dict(zip(*(x.tolist() for x in fingerprints.closed_syncmers("prefix " + text + " suffix")), strict=True))
+    assert inside <= set(moved.values())
+
+
+def check_neighbours(rows, got):
+    wanted = sorted((i if i is not None else -1, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.spelled(fingerprints.fingerprint(t)), fingerprints.spelled(fingerprints.fingerprint(e))) for i, t, e, _ in neighbours_of(rows))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == wanted
+
+
+@pytest.mark.parametrize("run", [7, 1000])
+def test_neighbours(spark, docs, run):
+    got = fingerprints.neighbours(spark.read.parquet(f"{SMALL}/documents.parquet"), run=run).collect()
+    check_neighbours(docs, got)
+    assert np.mean([r.near_edited for r in got]) > 0.4 and np.mean([r.near_next for r in got]) < 0.05
+
+
+def test_neighbours_on_awkward_rows(spark, edge):
+    got = queries.QUERIES["op1_syncmers"](spark, edge).collect()
+    check_neighbours([(r[0], r[1]) for r in DOCS], got)
+    by = {r.doc_id: r for r in got}
+    assert by[1].fingerprint == by[2].fingerprint and by[1].near_next == 1.0 and by[4].fingerprint == ""
+
+
+def test_one_document(spark):
+    df = spark.createDataFrame([(5, "abcdefgh" * 10)], "doc_id long, text string")
+    assert fingerprints.neighbours(df).first().near_next == 1.0
+
+
+# 2. Mixing
+
+
+def test_water_fill_rounds(spark):
+    """The closed form against rounds of clamping and resharing."""
+    rng = np.random.default_rng(4)
+    for _ in range(3):
+        n = int(rng.integers(1, 12))
+        sizes = {f"s{k:02d}": int(rng.integers(0, 1000)) for k in range(n)}
+        weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sorted(sizes))}
+        left, clamped, total = set(sizes), {}, 1.5 * sum(sizes.values())
+        while left:
+            level = (total - sum(clamped.values())) / sum(weight[s] for s in left)
+            over = {s for s in left if level * weight[s] >= 2 * sizes[s]}
+            if not over:
+                clamped |= {s: level * weight[s] for s in left}
+                break
+            clamped |= {s: 2.0 * sizes[s] for s in over}
+            left -= over
+        got = {r.source: r.target for r in mixing.water_fill(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert got.keys() == clamped.keys() and all(abs(got[s] - clamped[s]) < 1e-6 for s in got)
+
+
+def test_mix_takes_its_targets(spark):
+    rows = queries.QUERIES["op2_mix_sources"](spark, SMALL).collect()
+    assert rows == queries.QUERIES["op2_mix_sources"](spark, SMALL).collect() or sorted(rows) == sorted(queries.QUERIES["op2_mix_sources"](spark, SMALL).collect())
+    by = {}
+    for r in rows:
+        assert r.taken <= 2 * r.size
+        by.setdefault((r.source_size, r.target), []).append(r.taken)
+    for (_, target), taken in by.items():
+        assert abs(sum(taken) - target) <= 3 * len(taken) ** 0.5 + 1
+
+
+def test_mixed_documents(spark, edge):
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    plan = mixing.mix_sources(docs).collect()
+    assert sum(words(r.text) for r in out.collect()) == sum(r.taken for r in plan)
+
+
+# 3. WARC
+
+
+def check_pages(rows, got):
+    wanted = []
+    last = {}
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        if i is not None:
+            last[raw] = max(last.get(raw, i), i)
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        response = last.get(raw) == i
+        wanted.append((i, len(raw), digest, "response" if response else "revisit", None if response else last[raw]))
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(wanted, key=key)
+
+
+def test_pages_on_awkward_rows(spark, edge):
+    check_pages(PAGES, queries.QUERIES["op3_warc"](spark, edge).collect())
+
+
+@pytest.mark.parametrize("split", ["128m", "2000"])
+def test_magic_inside_payloads(spark, split):
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Page-ID: 99\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
+    rows = [(k, "u", fake * (k % 9) + "x" * k + "WARC/1.0\r\n" * (k % 3)) for k in range(1, 60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        where = scratch(spark, "warc")
+        warc.write_archives(df, where)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        check_pages(rows, warc.read_archives(spark, where).withColumnRenamed("kind", "record_type").collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+# 4. Spherical caps
+
+
+def brute_links(x):
+    n = np.linalg.norm(x, axis=1)
+    g = (x @ x.T) / np.outer(n, n) >= caps.THRESHOLD
+    np.fill_diagonal(g, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(g, label[None, :], len(x)).min(axis=1))
+        if (new == label).all():
+            return g.sum(axis=1), label
+        label = new
+
+
+def test_near_vectors_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(caps, "CELL", 64)
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((60, 64))
+    x = np.concatenate([b + rng.standard_normal((int(rng.integers(1, 6)), 64)) * rng.uniform(0, 0.3) for b in base] + [base[0] + rng.standard_normal((300, 64)) * 0.2, np.repeat(base[1:2], 40, axis=0)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(caps.near_duplicates(df).collect())
+    links, label = brute_links(x)
+    found = np.array([r.n_links for r in got])
+    assert (found <= links).all() and found.sum() >= 0.999 * links.sum()
+    assert np.mean([r.component_id == c for r, c in zip(got, label, strict=True)]) > 0.99
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_recall_at_the_threshold():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.standard_normal((3000, 64))
+    z -= (z * x).sum(axis=1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    how = caps.code(64, 50_000)
+    a, b = caps.decode(x, *how), caps.decode(0.95 * x + (1 - 0.95**2) ** 0.5 * z, *how)
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) > 0.995
+
+
+def test_vectors_that_link_with_nothing(spark, edge):
+    rows = queries.QUERIES["op4_caps"](spark, edge).collect()
+    got = {r.vec_id: r for r in rows}
+    assert [got[k].n_links for k in (5, 6, 7, 8, 9, 10)] == [0] * 6
+    assert got[1].n_links == 2 and got[3].component_id == 1 and got[None].n_links is None and got[None].kept is False
+    assert got[4].n_links == 2 and got[12].component_id == 4
+
+
+# 5 and 8. Tokens
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def test_encoder_is_the_library(library, docs):
+    odd = ["a  b", "\n x", " lead", "trail ", " ", "  ", "don't stop 'tis  it's\n\n ok", "x <|endoftext|> y", "日本 語 a　b", " \n \n", "it's d'été ##'s x_y 12ab µ ª º it'S", "", "a  b", "\x1c x"]
+    texts = [t or "" for _, t in docs] + odd
+    ids, ends = tokens.Encoder(PATH).encode(texts)
+    start = 0
+    for text, end in zip(texts, ends, strict=True):
+        assert ids[start:end].tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]
+        start = end
+
+
+def check_pieces(rows, got, library):
+    by = {}
+    for i, t in rows:
+        by.setdefault(i, []).append(np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4"))
+    filled, covered = {}, {}
+    for r in got:
+        texts = by[r.doc_id]
+        assert r.doc_tokens == len(texts[0]) and r.ids_crc32 == zlib.crc32(texts[0][r.start : r.start + r.length].tobytes())
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        covered.setdefault(r.doc_id, []).extend(range(r.start, r.start + r.length))
+    for i, texts in by.items():
+        assert sorted(covered[i]) == sorted(k for t in texts for k in range(len(t)))
+    padding = 0
+    for pieces in filled.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    return padding
+
+
+def test_packing(spark, docs, library, edge):
+    assert check_pieces(docs, queries.QUERIES["op5_pack"](spark, SMALL).collect(), library) == 0
+    assert check_pieces([(r[0], r[1]) for r in DOCS], queries.QUERIES["op5_pack"](spark, edge).collect(), library) == 0
+    pieces = packing.pack(spark.read.parquet(f"{edge}/documents.parquet"), with_ids=True).collect()
+    assert all(len(r.ids) == r.length for r in pieces)
+
+
+def test_packing_balances_costs():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 900, 400).tolist()
+    cost = {}
+    for _, _, n, seq, _ in packing.assign(sizes):
+        cost[seq] = cost.get(seq, 0.0) + n * n
+    full = sorted(cost.values())[20:]
+    assert max(full) < 3 * min(full)
+
+
+def check_files(rows, got, library):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    wanted, start = [], 0
+    for i, t in rows:
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        wanted.append((i if i is not None else -1, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(wanted)
+
+
+def test_token_files(spark, docs, library, edge):
+    check_files(docs, queries.QUERIES["op8_token_files"](spark, SMALL).collect(), library)
+    check_files([(r[0], r[1]) for r in DOCS], queries.QUERIES["op8_token_files"](spark, edge).collect(), library)
+    where = scratch(spark, "files")
+    files = token_files.write_token_files(spark.read.parquet(f"{SMALL}/documents.parquet"), where, docs_a_file=17, block_tokens=500)
+    assert len(files) > 5
+    check_files(docs, token_files.read_token_files(spark, where, files).collect(), library)
+
+
+def test_variable_length_code():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3, 4, 5, 1000):
+        v = rng.integers(0, 1 << rng.integers(1, 33, n), n, dtype=np.uint64).astype(np.uint32) if n else np.empty(0, np.uint32)
+        control, data = token_files.encode_values(v)
+        assert len(control) == -(-n // 4)
+        assert (token_files.decode_values(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n) == v).all()
+
+
+# 6 and 7. Classifiers
+
+
+def accuracy(rows, column, folder):
+    labels = dict(duckdb.connect().execute(f"SELECT doc_id, {column} FROM '{folder}/labels.parquet'").fetchall())
+    held = [(r, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    return np.mean([r.predicted == y for r, y in held]), np.mean([y for _, y in held])
+
+
+@pytest.mark.parametrize(("name", "column", "n", "m", "least"), [("op6_toxicity", "toxic", 5, 0, 0.93), ("op7_quality", "quality", 3, 1, 0.95)])
+def test_classifiers(spark, edge, name, column, n, m, least):
+    folder = f"{DATA}/sf0.01"
+    rows = queries.QUERIES[name](spark, folder).collect()
+    got, rate = accuracy(rows, column, folder)
+    assert got >= least and got > max(rate, 1 - rate)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == m) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    odd = queries.QUERIES[name](spark, edge).collect()
+    assert len(odd) == len(DOCS) and all(0 <= r.score <= 1 for r in odd)
+
+
+def test_one_class():
+    assert toxicity.fit(["a", "b"], np.array([0.0, 0.0]))["rate"] == 0.0
+    none = {0: (0.0, np.zeros(16), np.zeros((16, 16))), 1: (0.0, np.zeros(16), np.zeros((16, 16)))}
+    assert quality.discriminant(none) == {"rate": 0.0}
+
+
+def test_discriminant_is_the_density_ratio():
+    rng = np.random.default_rng(5)
+    x = [rng.standard_normal((400, 16)) @ rng.standard_normal((16, 16)) + k for k in (0, 1)]
+    model = quality.discriminant({k: (float(len(v)), v.sum(axis=0), v.T @ v) for k, v in enumerate(x)})
+    z = (x[0][:5] - model["mean"]) / model["scale"]
+    logs = []
+    for m, f in zip(model["means"], model["factors"], strict=True):
+        s = np.linalg.inv(f.T @ f)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(s), z - m) + np.linalg.slogdet(s)[1]))
+    assert np.allclose(quality.apply(model, x[0][:5]), 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + model["odds"], -500, 500))))
+
+
+# 9. Secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_findings_are_where_they_say(spark, forest):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = secrets.scan(spark.read.parquet(f"{SMALL}/documents.parquet"), forest).collect()
+    assert rows and all(docs[r.doc_id][r.start : r.start + len(r.finding)] == r.finding for r in rows)
+    wanted = {(i, m.start()) for i, t in docs.items() for m in re.finditer(secrets.CANDIDATE.replace("}+|", "}|"), t or "")}
+    assert {(r.doc_id, r.start) for r in rows} == wanted
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = secrets.labelled_findings(spark, 6000).withColumn("k", __import__("pyspark.sql.functions", fromlist=["x"]).expr("pmod(xxhash64(finding, left), 4)"))
+    model = secrets.train(rows.where("k <> 0"))
+    held = secrets.features(rows.where("k = 0"))
+    from pyspark.ml.feature import VectorAssembler
+
+    got = model.transform(VectorAssembler(inputCols=list(secrets.NAMES), outputCol="features").transform(held)).selectExpr("avg(cast(prediction = label as int)) a").first().a
+    assert got > 0.97
+
+
+def test_redaction(spark, edge, forest):
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    out = secrets.redacted(docs, forest)
+    assert out.columns == docs.columns and out.count() == len(DOCS)
+    by = {r.doc_id: r for r in out.collect()}
+    assert by[12].text == 'api token = "[SECRET]" end' and by[12].n_chars == len(by[12].text) and by[1].text == DOCS[0][1]
+
+
+def test_very_many_candidates(spark, forest):
+    text = "".join(f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}" and {k} ' for k in range(1500))
+    rows = secrets.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(rows) == 1500 and all(text[r.start : r.start + len(r.finding)] == r.finding for r in rows)
+
+
+# 10. Jaccard
+
+
+def shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_components(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    return {i: (len(x), root(i)) for i, x in sets}
+
+
+@pytest.mark.parametrize("chunk", [128, 8])
+def test_jaccard_is_brute_force(spark, monkeypatch, chunk):
+    """Copies, near copies around the threshold, shared passages, and many copies of one text."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(400)]
+    base = [" ".join(rng.choice(words, 60)) for _ in range(6)]
+    passage = " ".join(rng.choice(words, 25))
+    rows = []
+    for k in range(260):
+        kind = k % 4
+        own = list(rng.choice(words, 50))
+        if kind == 0:
+            t = base[k % 6].split()
+            for _ in range(int(rng.integers(0, 3))):
+                t[int(rng.integers(0, 60))] = "edit" + str(rng.integers(0, 50))
+            rows.append((k, " ".join(t)))
+        elif kind == 1:
+            rows.append((k, " ".join(own) + " " + passage))
+        elif kind == 2:
+            rows.append((k, base[0].upper() if k % 3 else base[1]))
+        else:
+            rows.append((k, " ".join(own[: int(rng.integers(0, 7))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_on_awkward_rows(spark, edge):
+    rows = queries.QUERIES["op10_jaccard"](spark, edge).collect()
+    by = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
+    wanted = brute_components([(r[0], r[1]) for r in DOCS if r[0] is not None])
+    assert by.pop(None)[1] is None and by == wanted
