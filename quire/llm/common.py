@@ -27,11 +27,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def lean(f):
-    """A mapInArrow function after which the Python worker gives freed memory back: workers are kept for later tasks, and
-    what numpy frees in small pieces would stay with them beside the heap of their executor."""
+#: What a Python worker keeps from task to task, by operator: functions that forget it.
+MEMOS: dict = {}
+
+
+def lean(f, keeps: str = ""):
+    """A mapInArrow function for workers that serve many operators: it forgets what others keep, and afterwards gives
+    freed memory back, which would else stay with the worker beside the heap of its executor."""
 
     def run(batches):
+        for name, forget in MEMOS.items():
+            if name != keeps:
+                forget()
         yield from f(batches)
         trim()
 

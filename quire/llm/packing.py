@@ -109,7 +109,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         if ids:
             yield emit()
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(packed), schema)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(packed, "tokens"), schema)
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ def token_table(docs: DataFrame, kind: str, path: str | None = None, end_id: int
                 raw = [flat[a:b].tobytes() + end for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // len(end) for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(encoded), "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(encoded, "tokens"), "doc_id long, n long, ids binary")
 
 
 def frequency_ranks(tokens: DataFrame, kind: str) -> np.ndarray:

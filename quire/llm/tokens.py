@@ -17,6 +17,8 @@ from itertools import repeat
 
 import numpy as np
 
+from .common import MEMOS
+
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE_CUT = re.compile(rb"(?<=[^\x09-\x0d\x20]) (?=[^\x09-\x0d\x20])")
 _PLAIN = re.compile(r" (?!')[\x21-\x7eÀ-ÖØ-öø-ÿ]+(?:\n[\x21-\x7eÀ-ÖØ-öø-ÿ]+)*\Z")
@@ -33,8 +35,8 @@ def _spelling() -> dict[int, int]:
 _SPELLING = _spelling()
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
-MEMO_PIECES = 400_000
-SLICE = 1 << 20
+MEMO_PIECES = 600_000
+SLICE = 3 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -230,6 +232,7 @@ def _parts(raw: bytes) -> Iterator[bytes]:
 
 
 _MEMO: dict[str, Encoder] = {}
+MEMOS["tokens"] = _MEMO.clear
 
 
 def encoder(path: str) -> Encoder:
