@@ -36,7 +36,9 @@ def lean(f, keeps: str = ""):
     freed memory back, which would else stay with the worker beside the heap of its executor."""
 
     def run(batches):
-        for name, forget in MEMOS.items():
+        from quire.llm import common  # the worker's own; a closure's globals are copies
+
+        for name, forget in common.MEMOS.items():
             if name != keeps:
                 forget()
         yield from f(batches)
