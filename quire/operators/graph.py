@@ -116,3 +116,42 @@ def dynamic_edges(lines: DataFrame, column: str) -> DataFrame:
     ends = ends.select("*", F.trim("l").alias("_l"), F.trim("r").alias("_r"))
     forth = ends.where("_m in ('>', '<>')").select(F.col("_l").alias("src"), F.col("_r").alias("dst"))
     return forth.union(ends.where("_m in ('<', '<>')").select(F.col("_r"), F.col("_l")))
+
+
+def static_edges(lines: DataFrame, column: str) -> DataFrame:
+    """'name --> (type)target[meta]; (type)target[meta]' as src, rel, dst, meta."""
+    rows = lines.withColumn("_s", F.trim(F.substring_index(column, "-->", 1))).withColumn("_r", F.explode(F.split(F.substring_index(column, "-->", -1), ";")))
+    part = lambda pattern: F.trim(F.regexp_extract("_r", pattern, 1))
+    return rows.select(F.col("_s").alias("src"), part(r"\(([^)]*)\)").alias("rel"), part(r"^\s*(?:\([^)]*\))?([^\[(]*)").alias("dst"), part(r"\[([^\]]*)\]").alias("meta")).where("dst <> ''")
+
+
+def rescaled(edges: DataFrame, top: float, least: float = 1.0) -> DataFrame:
+    """Weights scaled so that the largest is `top`, none below `least`."""
+    most = edges.agg(F.max("weight").alias("_most"))
+    return edges.join(F.broadcast(most)).withColumn("weight", F.greatest(F.lit(least), F.col("weight") * top / F.col("_most"))).drop("_most")
+
+
+def web_mercator(latitude, longitude):
+    """Longitude and latitude in degrees as metres east and north."""
+    k = 6378137.0
+    return (F.radians(longitude) * k).alias("x"), (F.log(F.tan(F.radians(latitude) / 2 + 0.7853981633974483)) * k).alias("y")
+
+
+def property_edges(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """An edge from each text to each of its properties, 'column:value'."""
+    pairs = F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in columns])
+    return texts.select(F.col("_id").alias("src"), F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("dst"))
+
+
+def reachable(edges: DataFrame, start: list, depth: int) -> DataFrame:
+    """node, hops: what is reached from some nodes, either way along edges, in at most so many steps."""
+    both = kept(undirected(edges))
+    spark = edges.sparkSession
+    seen = spark.createDataFrame([(s, 0) for s in start], ["node", "hops"])
+    last = seen.select("node")
+    for n in range(1, depth + 1):
+        last = kept(both.join(last.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti"))
+        if not last.limit(1).count():
+            break
+        seen = kept(seen.union(last.withColumn("hops", F.lit(n).cast(seen.schema["hops"].dataType))))
+    return seen
