@@ -28,7 +28,8 @@ from .tokens import default_path, encoder
 
 LENGTH = 2048
 END_ID = 1
-WINDOW = 1 << 22
+WINDOW = 1 << 21
+MEMO = 250_000  # pieces a worker remembers: packing runs beside the heaps that earlier stages have grown
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -86,7 +87,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        enc, ids, names, total = encoder(path), [], [], 0
+        enc, ids, names, total = encoder(path, MEMO), [], [], 0
         end = np.array([end_id], np.uint32)
 
         def emit():

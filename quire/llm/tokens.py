@@ -36,7 +36,7 @@ _SPELLING = _spelling()
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
 MEMO_PIECES = 600_000
-SLICE = 3 << 19
+SLICE = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -69,7 +69,7 @@ def default_path() -> str:
 class Encoder:
     """A tokenizer file's ids for texts; see encode()."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO_PIECES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,6 +78,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
+        self.memo = memo
         self.clear()
 
     def clear(self) -> None:
@@ -103,7 +104,7 @@ class Encoder:
         splits remembered; the library cuts others itself."""
         found: list = [None] * len(pieces)
         whole, parts, tails = [], self.parts, self.tails
-        plain, cut, latin, keep = _PLAIN.match, _SPLITS.findall, _LATIN.match, len(self.parts) < MEMO_PIECES // 2
+        plain, cut, latin, keep = _PLAIN.match, _SPLITS.findall, _LATIN.match, len(self.parts) < self.memo // 2
         for k, piece in enumerate(pieces):
             word = piece.rstrip(_MARKS)
             if piece[0] == " " and (bare := word[1:]).isalpha() and (bare.isascii() or latin(bare)):  # a word, and marks that don't begin a contraction
@@ -117,7 +118,7 @@ class Encoder:
                     end = tails.get(tail)
                     if end is None:
                         end = self._ids(tail)
-                        if len(tails) < MEMO_PIECES // 100:
+                        if len(tails) < self.memo // 100:
                             tails[tail] = end
                     got = got + end
                 found[k] = got
@@ -215,7 +216,7 @@ class Encoder:
             out_sizes.append(np.diff(total[np.searchsorted(starts, ends)], prepend=0))
         del at, n, flat
         if len(absent):
-            if kept[0] > MEMO_PIECES:  # full: what came first is the frequent part; this slice's pieces go again
+            if kept[0] > self.memo:  # full: what came first is the frequent part; this slice's pieces go again
                 del self.starts[kept[0] :], self.sizes[kept[0] :], self.check[kept[0] :], self.flat[kept[1] :]
             else:
                 self.at.update(zip(name[absent].tolist(), range(kept[0], kept[0] + len(absent)), strict=True))
@@ -231,11 +232,13 @@ def _parts(raw: bytes) -> Iterator[bytes]:
         at = end
 
 
-_MEMO: dict[str, Encoder] = {}
+_MEMO: dict[tuple[str, int], Encoder] = {}
 MEMOS["tokens"] = _MEMO.clear
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _MEMO:
-        _MEMO[path] = Encoder(path)
-    return _MEMO[path]
+def encoder(path: str, memo: int = MEMO_PIECES) -> Encoder:
+    """This worker's encoder. memo: pieces that it remembers, about 200 bytes each; fewer cost time, not correctness."""
+    if (path, memo) not in _MEMO:
+        _MEMO.clear()
+        _MEMO[path, memo] = Encoder(path, memo)
+    return _MEMO[path, memo]
