@@ -224,7 +224,7 @@ def degree_filter(spark, d):
 @query()
 def k_core(spark, d):
     e = S.table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
-    return G.k_core(e, 25)
+    return G.k_core(e, 8)
 
 
 @query("""WITH e AS (SELECT DISTINCT p_brand AS x, p_name AS y FROM part) SELECT a.x AS a, b.x AS b, count(*)::BIGINT AS shared FROM e a JOIN e b ON a.y = b.y AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 30
