@@ -71,24 +71,40 @@ def usable(v: list | None) -> np.ndarray | None:
     return x if np.isfinite(x).all() and np.isfinite(x @ x) and x @ x > 0 else None
 
 
-def _cell(ids, copies, x, lists, side, direction: int, threshold: float):
-    """Links of a cell. side: 0 or 1, the chunk of each row; one chunk: pairs inside it, two: pairs across."""
+def _uncount(counted: np.ndarray, left: np.ndarray, right: np.ndarray, direction: int) -> None:
+    """Clears the pairs that share a direction below this one: they count there. Only rows with a pair are looked at, 64
+    at a time, against the directions of their partners."""
+    some = np.flatnonzero(counted.any(axis=1))
+    for at in range(0, len(some), 64):
+        rows = some[at : at + 64]
+        partners = np.flatnonzero(counted[rows].any(axis=0))
+        low = np.unique(left[rows])
+        low = low[low < direction]
+        if not len(low):
+            continue
+
+        def marks(lists: np.ndarray, low=low) -> np.ndarray:
+            place = np.minimum(np.searchsorted(low, lists), len(low) - 1)
+            out = np.zeros((len(lists), len(low)), np.float32)
+            r, c = np.nonzero(low[place] == lists)
+            out[r, place[r, c]] = 1
+            return out
+
+        shared = marks(left[rows]) @ marks(right[partners]).T > 0
+        counted[np.ix_(rows, partners)] &= ~shared
+
+
+def _cell(ids, copies, x, lists, side, across: bool, direction: int, threshold: float):
+    """Links of a cell: pairs inside a chunk, or across two (side: 0 or 1, the chunk of each row)."""
     norm = np.sqrt((x * x).sum(axis=1))
-    a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(x)),) * 2
+    a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(len(x)),) * 2
     near = (x[a] @ x[b].T) / (norm[a][:, None] * norm[b][None, :]) >= threshold
     if a is b:
         np.fill_diagonal(near, False)
     if not near.any():
         return []
-    # Directions below this one that both of a pair have: it counts there
-    names, at = np.unique(lists, return_inverse=True)
-    at = at.reshape(lists.shape)
-    low = int(np.searchsorted(names, direction))
-    has = np.zeros((len(x), low + 1), np.float32)
-    rows = np.repeat(np.arange(len(x)), lists.shape[1])
-    has[rows, np.minimum(at.ravel(), low)] = 1
-    has = has[:, :low]
-    counted = near & (has[a] @ has[b].T == 0) if low else near
+    counted = near.copy()
+    _uncount(counted, lists[a], lists[b], direction)
     links = np.zeros(len(x), np.int64)
     links[a] += counted @ copies[b]
     if a is not b:
@@ -153,7 +169,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, listed: in
 
         def close():
             ids, copies, x, lists, side = (np.array(v) for v in zip(*held, strict=True))
-            return _cell(ids, copies, x, lists, side, now[1], threshold) if len(ids) > 1 else []
+            return _cell(ids, copies, x, lists, side, now[2] != now[3], now[1], threshold) if len(ids) > 1 else []
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "links", "root"])
