@@ -42,7 +42,12 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def word_index(texts: DataFrame) -> DataFrame:
-    """One row for each text and word: the columns of texts but the text itself, word, count."""
+    """One row for each text and word: the columns of texts but the text itself, word, count.
+
+    Words are those of quire.functions.text.tokens that begin with a letter and hold nothing but letters, `-` and `'`.
+    They are exploded before they are trimmed, so that trimming and counting run in generated code, and judged once they
+    are counted: a word once a text, not at each place."""
     kept = [c for c in texts.columns if c != "text"]
-    words = texts.select(*kept, F.explode(T.tokens("text")).alias("word")).where(T.is_word("word"))
-    return words.groupBy(*kept, "word").agg(F.count("*").alias("count"))
+    pieces = texts.select(*kept, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_'\-]+")).alias("w"))
+    counts = pieces.select(*kept, F.btrim("w", F.lit("_'-")).alias("word")).where("word <> ''").groupBy(*kept, "word").agg(F.count("*").alias("count"))
+    return counts.where(T.is_word("word"))
