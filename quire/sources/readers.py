@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +64,13 @@ def json_walk(spark: SparkSession, folder: str, name: str = "meta.json") -> Data
 
 
 def texts(spark: SparkSession, folder: str, extension: str = "txt") -> DataFrame:
-    """id and text of every file of an extension below a folder."""
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").text(folder, wholetext=True)
+    """id and text of every file of an extension below a folder; none if there is no such folder."""
+    try:
+        found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").text(folder, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "id string, text string")
     return found.select(F.regexp_extract("_metadata.file_path", rf"([^/]+)\.{extension}$", 1).alias("id"), F.col("value").alias("text"))
 
 
