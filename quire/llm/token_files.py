@@ -38,6 +38,7 @@ MAGIC = b"QTK1"
 HEAD = struct.Struct("<4s5I")
 BLOCK_TOKENS = 1 << 18
 DOCS_A_FILE = 8_000
+MEMO = 900_000  # pieces a worker remembers
 #: Bytes of each of a control byte's four values.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -109,7 +110,7 @@ def token_table(docs: DataFrame, kind: str, path: str | None = None, end_id: int
     path = path or default_path()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], kind).tobytes()
+        enc, end = encoder(path, MEMO), np.array([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
