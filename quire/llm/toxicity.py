@@ -1,9 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A text is lower-cased; its character n-grams (n in `orders`) are hashed into `dims` features, present or absent. A
-feature's scale is the log ratio of its smoothed document frequencies among toxic and other training texts, 0 where it
-lies within a few standard errors of 0, so that a long text's many neutral features don't drown a few telling ones; a
-logistic regression with an L2 penalty is fitted on the scaled features.
+feature's scale is the log ratio of its smoothed document frequencies among toxic and other training texts; a logistic
+regression with an L2 penalty, which shrinks what the labels don't tell apart, is fitted on all scaled features.
 
 Fitting takes at most `max_rows` labelled texts (a documented bound, chosen by a hash of the id, the same at every
 corpus size) in one task; the model is `dims` numbers. Scoring takes every text, whole, without a shuffle.
@@ -33,8 +32,8 @@ MAX_ROWS = 6_000
 SMOOTH = 1.0
 PENALTY = 3e-4
 STEPS = 60
-#: A log ratio of fewer standard errors than this counts as 0: the labels don't tell the feature apart.
-EVIDENCE = 4.0
+#: Rows whose terms are summed at once while fitting.
+BLOCK = 256
 
 
 def features(text: str | None, dims: int = DIMS, orders: tuple = ORDERS) -> np.ndarray:
@@ -59,25 +58,33 @@ def features(text: str | None, dims: int = DIMS, orders: tuple = ORDERS) -> np.n
 
 def fit(texts: list[str | None], labels: np.ndarray, dims: int = DIMS, orders: tuple = ORDERS, smooth: float = SMOOTH, penalty: float = PENALTY, steps: int = STEPS) -> dict:
     """The weight of each feature (scale times coefficient) and the bias. Features are made twice, first to be counted,
-    then without those of scale 0: only telling ones are held."""
+    then held as one array of their numbers."""
     rate = float(labels.mean()) if len(labels) else 0.0
     if rate in (0.0, 1.0):
         return {"weights": np.zeros(dims, np.float32), "bias": 0.0, "rate": rate}
     p, q = np.full(dims, smooth), np.full(dims, smooth)
-    for t, y in zip(texts, labels, strict=True):
-        (p if y == 1 else q)[features(t, dims, orders)] += 1
+    size = np.zeros(len(texts), np.int64)
+    for k, (t, y) in enumerate(zip(texts, labels, strict=True)):
+        x = features(t, dims, orders)
+        size[k] = len(x)
+        (p if y == 1 else q)[x] += 1
     ratio = np.log(p / (labels.sum() + 2 * smooth)) - np.log(q / ((1 - labels).sum() + 2 * smooth))
-    ratio[np.abs(ratio) < EVIDENCE * np.sqrt(1 / p + 1 / q)] = 0.0
-    rows = [x[ratio[x] != 0] for x in (features(t, dims, orders) for t in texts)]
-    flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
-    value = ratio[flat].astype(np.float32)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    flat = np.empty(ends[-1], np.int32)
+    for k, t in enumerate(texts):
+        flat[ends[k] : ends[k + 1]] = features(t, dims, orders)
+    blocks = [(i, min(i + BLOCK, len(size))) for i in range(0, len(size), BLOCK)]
     w, b = np.zeros(dims), float(np.log(rate / (1 - rate)))
-    # Limited-memory BFGS on the mean log loss
+    # Limited-memory BFGS on the mean log loss; sums go block by block of rows, so that feature numbers only are held
     def loss(w, b):
-        z = np.bincount(of, weights=w[flat] * value, minlength=len(rows)) + b
-        d = 1 / (1 + np.exp(-z)) - labels
-        g = np.bincount(flat, weights=d[of] * value, minlength=dims) / len(rows) + penalty * w
-        return float(np.logaddexp(0, z).mean() - (labels * z).mean() + penalty / 2 * (w @ w)), np.append(g, d.mean())
+        u, g, z = w * ratio, np.zeros(dims), np.empty(len(size))
+        for i, j in blocks:
+            own, of = flat[ends[i] : ends[j]], np.repeat(np.arange(j - i), size[i:j])
+            z[i:j] = np.bincount(of, weights=u[own], minlength=j - i) + b
+            d = 1 / (1 + np.exp(-np.clip(z[i:j], -500, 500))) - labels[i:j]
+            g += np.bincount(own, weights=d[of], minlength=dims)
+        d = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
+        return float(np.logaddexp(0, z).mean() - (labels * z).mean() + penalty / 2 * (w @ w)), np.append(g * ratio / len(size) + penalty * w, d.mean())
 
     x = np.append(w, b)
     f, g = loss(x[:-1], x[-1])

@@ -356,6 +356,14 @@ def test_one_class():
     assert quality.discriminant(none) == {"rate": 0.0}
 
 
+def test_all_ngrams_are_scaled(spark):
+    """Few toxic rows: features that rows of one class alone have keep their weights, and scores differ."""
+    model = toxicity.fit(["you stupid thing", "some calm thing", "another calm day", "a fine day"], np.array([1.0, 0.0, 0.0, 0.0]))
+    assert (model["weights"][toxicity.features("stupid")[1:-1]] != 0).any() and (model["weights"] != 0).sum() > 50
+    scores = {r.score for r in queries.QUERIES["op6_toxicity"](spark, SMALL).collect()}
+    assert len(scores) > 50
+
+
 def test_discriminant_is_the_density_ratio():
     rng = np.random.default_rng(5)
     x = [rng.standard_normal((400, 16)) @ rng.standard_normal((16, 16)) + k for k in (0, 1)]
