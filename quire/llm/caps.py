@@ -10,7 +10,8 @@ counts in the smallest it shares. Directions with more than `CELL` vectors are c
 is a task's work.
 
 Equal vectors are one row with a count before all this. Links that are reported are exact (cosine >= threshold); a pair
-at the threshold itself shares a direction with a probability of about 0.9998, closer pairs more (see the tests).
+at the threshold itself shares a direction with a probability of about 0.9998, closer pairs more (see the tests). Above
+2,000,000 vectors the code has four blocks, and lists are eight times as long to keep that.
 
 Defined results: vectors that are null, zero or hold nulls or non-finite numbers link with nothing: n_links 0, their own
 component. Vectors of different lengths don't link. Rows that share a vec_id are one node, counted once for each row;
@@ -37,6 +38,11 @@ CELL = 1024
 SEED = 7
 
 
+def longer(vectors: int, listed: int = LISTED) -> int:
+    """Directions listed for each of that many vectors: words of four short blocks tell less apart than words of two."""
+    return listed if vectors <= 2_000_000 else 8 * listed
+
+
 def code(dims: int, vectors: int, listed: int = LISTED, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """A rotation and the blocks' words for that many vectors: about 16 expected for each direction."""
     blocks = 2 if vectors <= 2_000_000 else 4
@@ -136,6 +142,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, listed: in
     reps = rows.where("name is not null").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"))
     reps = materialize(reps.withColumn("dims", F.size("embedding")), "distinct")
     n = reps.count()
+    listed = longer(n, listed)
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, tuple] = {}

@@ -234,6 +234,20 @@ def test_recall_at_the_threshold():
     assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) > 0.995
 
 
+def test_recall_of_four_blocks():
+    """The code of tables above 2,000,000 vectors."""
+    rng = np.random.default_rng(2)
+    x, z = rng.standard_normal((2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(axis=1)[:, None] * x
+    z = 0.95 * x + (1 - 0.95**2) ** 0.5 * z / np.linalg.norm(z, axis=1)[:, None]
+    for n in (2_000_001, 100_000_000):
+        listed = caps.longer(n)
+        how = caps.code(64, n, listed)
+        a, b = (np.concatenate([caps.decode(v[at : at + 250], *how, listed) for at in range(0, 1000, 250)]) for v in (x, z))
+        assert len(how[1]) == 4 and np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) >= 0.998
+
+
 def test_vectors_that_link_with_nothing(spark, edge):
     rows = queries.QUERIES["op4_caps"](spark, edge).collect()
     got = {r.vec_id: r for r in rows}
