@@ -208,44 +208,60 @@ def brute_links(x):
         label = new
 
 
-def test_near_vectors_are_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(caps, "CELL", 64)
+def clustered(dims=64):
     rng = np.random.default_rng(1)
-    base = rng.standard_normal((60, 64))
-    x = np.concatenate([b + rng.standard_normal((int(rng.integers(1, 6)), 64)) * rng.uniform(0, 0.3) for b in base] + [base[0] + rng.standard_normal((300, 64)) * 0.2, np.repeat(base[1:2], 40, axis=0)])
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = sorted(caps.near_duplicates(df).collect())
+    base = rng.standard_normal((60, dims))
+    return np.concatenate([b + rng.standard_normal((int(rng.integers(1, 6)), dims)) * rng.uniform(0, 0.3) for b in base] + [base[0] + rng.standard_normal((300, dims)) * 0.2, np.repeat(base[1:2], 40, axis=0)])
+
+
+def check_vectors(x, got, least=0.999):
     links, label = brute_links(x)
+    got = sorted(got)
     found = np.array([r.n_links for r in got])
-    assert (found <= links).all() and found.sum() >= 0.999 * links.sum()
-    assert np.mean([r.component_id == c for r, c in zip(got, label, strict=True)]) > 0.99
+    assert (found <= links).all() and found.sum() >= least * links.sum()
+    assert np.mean([r.component_id == c for r, c in zip(got, label, strict=True)]) >= 0.99
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    return found.sum() == links.sum()
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("how", [{}, {"bucket_bytes": 40_000, "chunk": 64}, {"exact": True}, {"exact": True, "bucket_bytes": 40_000, "chunk": 64}])
+def test_near_vectors_are_brute_force(spark, how):
+    """Whole buckets, hot ones that are dealt by direction and in chunks, and all pairs."""
+    x = clustered()
+    assert check_vectors(x, caps.near_duplicates(frame(spark, x), **how).collect()) or not how.get("exact")
+
+
+def test_few_dimensions(spark):
+    x = np.random.default_rng(3).standard_normal((1500, 4))
+    check_vectors(x, caps.near_duplicates(frame(spark, x)).collect())
+
+
+@pytest.mark.parametrize(("dims", "vectors"), [(2, 3000), (3, 10_000), (4, 50_000), (8, 50_000), (16, 20_000), (32, 50_000), (64, 2_000), (64, 50_000), (64, 2_000_000), (128, 50_000), (768, 50_000)])
+def test_recall_at_the_threshold(dims, vectors):
+    """Of other simulated pairs than those the code was fitted on."""
+    assert caps.recall(caps.fitted(dims, vectors), *caps.simulated(dims, 1000, caps.THRESHOLD, seed=11)) >= 0.995
+
+
+def test_decoding_is_all_directions_over_the_level():
+    x = clustered()[:50]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = caps.fitted(64, 3000)
+    flat, size = code.decode(x)
+    p, q = code.products(x)
+    for k, own in enumerate(np.split(flat, np.cumsum(size)[:-1])):
+        sums = (p[k][:, None] + q[k][None]).ravel()
+        level = min(np.float32(code.level), np.sort(sums)[-code.least])
+        assert own.tolist() == np.flatnonzero(sums >= level).tolist() and len(own) >= code.least
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((3000, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    z = rng.standard_normal((3000, 64))
-    z -= (z * x).sum(axis=1)[:, None] * x
-    z /= np.linalg.norm(z, axis=1)[:, None]
-    how = caps.code(64, 50_000)
-    a, b = caps.decode(x, *how), caps.decode(0.95 * x + (1 - 0.95**2) ** 0.5 * z, *how)
-    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) > 0.995
-
-
-def test_recall_of_four_blocks():
-    """The code of tables above 2,000,000 vectors."""
-    rng = np.random.default_rng(2)
-    x, z = rng.standard_normal((2, 1000, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    z -= (z * x).sum(axis=1)[:, None] * x
-    z = 0.95 * x + (1 - 0.95**2) ** 0.5 * z / np.linalg.norm(z, axis=1)[:, None]
-    for n in (2_000_001, 100_000_000):
-        listed = caps.longer(n)
-        how = caps.code(64, n, listed)
-        a, b = (np.concatenate([caps.decode(v[at : at + 250], *how, listed) for at in range(0, 1000, 250)]) for v in (x, z))
-        assert len(how[1]) == 4 and np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) >= 0.998
+def test_very_small_and_large_components(spark):
+    rows = [(1, [1e-170, 0.0]), (2, [2e-170, 0.0]), (3, [1e200, 1e200]), (4, [2e200, 2e200]), (5, [5e-324, 0.0])]
+    got = {r.vec_id: r for r in caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[k].n_links for k in range(1, 6)] == [2, 2, 1, 1, 2] and got[4].component_id == 3 and got[5].component_id == 1
 
 
 def test_vectors_that_link_with_nothing(spark, edge):
