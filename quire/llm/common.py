@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: What separates words in every contract of this package: space and \t \n \v \f \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-#: Rows up to which a table is a broadcast candidate; above it joins shuffle.
+#: Rows, and bytes written, up to which a table is a broadcast candidate; above either joins shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
 #: Rows of texts that pass between the JVM and Python at once, unless the session asks for another number.
@@ -58,11 +59,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset and Spark is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -92,9 +95,18 @@ def drop(df: DataFrame) -> None:
 
 
 def dimension(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcasts a materialised table whose counted rows are few; otherwise the join shuffles (AQE splits skew)."""
+    """Broadcasts a materialised table whose counted rows, and bytes where it is a file's, are few; otherwise the join
+    shuffles (AQE splits skew)."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
+    return F.broadcast(df) if n <= BROADCAST_ROWS and written(df) <= BROADCAST_BYTES else df.hint("merge")
+
+
+def written(df: DataFrame) -> int:
+    """Bytes of what materialize() wrote; 0 for other tables."""
+    if not getattr(df, "quire_path", None):
+        return 0
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.quire_path)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -105,6 +117,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(docs: DataFrame, *names: str):
+    """docs with columns of these names (in any case) renamed, and a function that selects the columns of docs again, under
+    their own names and with their own values."""
+    moved, taken = {}, {c.lower() for c in docs.columns} | {n.lower() for n in names}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = "_" + c
+            while new.lower() in taken:
+                new = "_" + new
+            moved[c] = new
+            taken.add(new.lower())
+    return docs.withColumnsRenamed(moved), lambda df: df.select(*[F.col(moved.get(c, c)).alias(c) for c in docs.columns])
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id written as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

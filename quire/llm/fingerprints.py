@@ -2,12 +2,16 @@
 
 A k-mer of code points is a closed syncmer when the smallest hash of its inner s-mers lies at its first or last place.
 That depends on the k-mer alone, so the same passage gives the same anchors wherever it stands. A text's anchors are the
-places and hashes of its syncmers; its fingerprint is the `sketch` smallest distinct hashes, ascending, eight
-hexadecimal digits each. Two fingerprints are as alike as the share of the smallest hashes of both together that both
-have, an estimate of the Jaccard similarity of the two sets of syncmers (exact up to `sketch` syncmers).
+places and hashes of its syncmers. Matching is positional: what is compared are pairs of anchors that follow each other,
+with the distance between their places, so two texts match where the same anchors lie equally far apart. A fingerprint is
+the `sketch` smallest distinct hashes of such pairs, ascending, eight hexadecimal digits each. Two fingerprints are as
+alike as the share of the smallest hashes of both together that both have: an estimate of the Jaccard similarity of the
+two sets of pairs, exact for texts of up to `sketch` pairs, and for all with a `size` of their number. `matched` compares
+two texts' anchors themselves, place by place.
 
-A text shorter than k is one anchor, at 0, of all its code points; a text without characters has none: its fingerprint
-is the empty string, two empty fingerprints are alike (1.0), an empty and another aren't (0.0).
+A text shorter than k is one anchor, at 0, of all its code points; one anchor alone is a pair with itself; a text without
+characters has none: its fingerprint is the empty string, two empty fingerprints are alike (1.0), an empty and another
+aren't (0.0).
 
 The neighbour query needs the next document's text. Ids that cut the table into runs (from one pass over the ids) tell
 each document its run; the first document of a run is also sent to the end of the run before. One shuffle moves each
@@ -86,8 +90,35 @@ def sketch_of(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
     return np.unique(h)[:size]
 
 
+def spaced(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A hash of each anchor, the next one and the distance between them; of a single anchor, its own."""
+    if len(hashes) < 2:
+        return hashes
+    return mix64(hashes[:-1] * np.uint64(_B) + hashes[1:] + np.diff(places).astype(np.uint64))
+
+
 def fingerprint(text: str | None, k: int = K, s: int = S, size: int = SKETCH) -> np.ndarray:
-    return sketch_of(closed_syncmers(text, k, s)[1], size)
+    return sketch_of(spaced(*closed_syncmers(text, k, s)), size)
+
+
+def matched(a: str | None, b: str | None, k: int = K, s: int = S) -> list[tuple[int, int, int]]:
+    """Stretches (place in a, place in b, code points) that two texts share: anchors with the same hash on the same
+    diagonal, run by run; an anchor that repeats stands for its first place in b."""
+    (pa_, ha), (pb, hb) = closed_syncmers(a, k, s), closed_syncmers(b, k, s)
+    if not len(ha) or not len(hb):
+        return []
+    name, first = np.unique(hb, return_index=True)
+    at = np.minimum(np.searchsorted(name, ha), len(name) - 1)
+    hit = np.flatnonzero(name[at] == ha)
+    x, y = pa_[hit], pb[first[at[hit]]]
+    size = min(k, len(a or ""))
+    out: list[tuple[int, int, int]] = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        if out and i - out[-1][0] == j - out[-1][1] and i <= out[-1][0] + out[-1][2]:
+            out[-1] = (*out[-1][:2], i - out[-1][0] + size)
+        else:
+            out.append((i, j, size))
+    return out
 
 
 def spelled(sketch: np.ndarray) -> str:
@@ -130,8 +161,9 @@ def in_runs(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
     least = None if null_first else rows.agg(F.min("doc_id")).first()[0]
     first = F.col("doc_id").eqNullSafe(F.lit(least).cast("long"))
     opens = first
-    if bounds:
-        opens = opens | F.coalesce(F.array_contains(F.from_json(F.lit(str(bounds)), "array<bigint>"), F.col("doc_id")), F.lit(False))
+    if bounds:  # the bound that a run begins with
+        begin = F.element_at(F.from_json(F.lit(str([int(b) for b in bounds])), "array<bigint>"), F.greatest(F.col("bucket"), F.lit(1)).cast("int"))
+        opens = opens | F.coalesce((F.col("bucket") > 0) & (F.col("doc_id") == begin), F.lit(False))
     place = lambda bucket, extra: F.struct(bucket.cast("int").alias("bucket"), F.lit(extra).alias("extra"))
     own = place(F.col("bucket"), False)
     twice = F.when(opens, F.array(own, place(F.when(first, F.lit(last)).otherwise(F.col("bucket") - 1), True))).otherwise(F.array(own))

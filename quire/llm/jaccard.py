@@ -13,9 +13,9 @@
    after that aren't opened again, all others are.
 5. Components: large-star, small-star over these edges.
 
-Tokens are 64-bit hashes of shingles of whole texts, and sets are compared by them. The matrix holds 32 bits of them: two
-that collide in a union count once, so the bound is lowered by one. The frequent tokens that the order knows are a
-bounded list: the order steers costs, results don't depend on it. No list of a token's documents is made.
+Tokens are 64-bit hashes of shingles of whole texts; sets are compared by them, and the matrix holds them whole. The
+frequent tokens that the order knows are a bounded list: the order steers costs, results don't depend on it. No list of a
+token's documents is made.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component; fewer
 words than a shingle has are one shingle together. Equal texts link. A null doc_id is kept, with a null component, and
@@ -279,7 +279,7 @@ class Group:
         self.rows.append((doc, len(x), k, first))
 
 
-GROUPS = "doc_id long, n long, root long, grp long, first boolean, tokens array<int>, least long, most long"
+GROUPS = "doc_id long, n long, root long, grp long, first boolean, tokens array<long>, least long, most long"
 
 
 def grouped(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -316,14 +316,14 @@ def grouped(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
         def close():
             if not group.rows:
                 return
-            union = np.unique(np.concatenate([rare_tokens(x, tokens, count, threshold).astype(np.uint32).view(np.int32) for x in group.sets]))
+            union = np.unique(np.concatenate([rare_tokens(x, tokens, count, threshold).view(np.int64) for x in group.sets]))
             sizes = [len(x) for x in group.sets]
             for k, (doc, n, place, first) in enumerate(group.rows):
                 more = (union, min(sizes), max(sizes)) if k == 0 else (None, None, None)
                 out.append((doc, n, group.ids[group.root(place)], group.ids[0], first, *more))
 
         def batch_of(rows):
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n", "root", "grp", "first", "tokens", "least", "most"])
 
         for batch in batches:
@@ -363,7 +363,7 @@ def qualifying(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     taken = lambda n: F.least(F.lit(SHARED), need(n))
     # All but the taken tokens of a set are past its rarest ones; what is shared beyond those is at most that many
     must = F.ceil(threshold * (F.col("la") + F.col("lb")) / (100 + threshold)) - F.greatest(*[need(F.col(n)) - taken(F.col(n)) for n in ("ma", "mb")])
-    least = F.greatest(F.least(taken(F.col("la")), taken(F.col("lb"))), must) - 1
+    least = F.greatest(F.least(taken(F.col("la")), taken(F.col("lb"))), must)
     out = materialize(pairs.where(F.col("c") >= F.greatest(least, F.lit(1))).select("a", "b"), "qualifying")
     drop(found)
     return out

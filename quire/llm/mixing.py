@@ -5,11 +5,13 @@ clamped there and its excess goes to the others in proportion to their weights,
 this ends at has a closed form: order sources by cap / weight; the clamped ones are a prefix of that order, so running
 sums of caps and weights give the level of every prefix, and the first source above its level ends the prefix.
 
-A document then takes `target / size` of itself: whole repetitions, and of one more a seeded, rotating window of words
-(the fractional repetition), rounded up or down by a seeded draw so that the words of a source add up to its target.
+A document then takes `target / size` of itself: whole repetitions, and of one more a seeded window of words (the
+fractional repetition), rounded up or down by a seeded draw so that the words of a source add up to its target. A window
+is a stretch of the text as it stands: it doesn't wrap round, and keeps the blanks and line breaks between its words.
 
-The table of sources is one row a source after a partial aggregation; the order over it is one small task. Weights are
-given per source by people or by a repeating list, so that table is small; documents never meet in a group.
+The table of sources is one row a source after a partial aggregation. Their order, and running sums over it, are made in
+two steps: inside ranges of the order, and over one row a range; so sources may be as many as documents. Documents never
+meet in a group.
 
 Nulls: a null text has size 0 and takes nothing; a null source is a source of its own, last in the order. A null doc_id
 draws like the empty text. Repeated rows are separate documents with the same draw. An empty table gives an empty result.
@@ -22,12 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, dimension, fresh, materialize, read
+from .common import SPACE_CLASS, aside, dimension, fresh, materialize, read
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
+ADDED = ("size", "source_size", "target", "taken", "whole", "part", "part_start")
 
 
 def n_words(text: str) -> Column:
@@ -36,26 +39,31 @@ def n_words(text: str) -> Column:
     return F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(parts - F.col(text).rlike(r"^[\x20\x09-\x0D]").cast("int") - F.col(text).rlike(r"[\x20\x09-\x0D]\z").cast("int")).cast("long").alias("size")
 
 
+def placed(df: DataFrame, *order: Column, **sums: str) -> DataFrame:
+    """Adds the place of each row in an order, from 1, and for each name=column the sum of that column over the rows
+    before it. Ranges of the order are sorted apart; only their totals, a row a range, meet in one task."""
+    parts = materialize(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("range_").orderBy(*order)
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    total = parts.groupBy("range_").agg(F.count("*").alias("n_"), *[F.sum(c).alias(f"{k}_") for k, c in sums.items()])
+    total = total.select("range_", *[F.coalesce(F.sum(f"{k}_").over(before), F.lit(0)).alias(f"{k}_") for k in ("n", *sums)])
+    rows = parts.join(dimension(total), "range_")
+    own = {k: F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col(f"{k}_") for k, c in sums.items()}
+    return rows.select(*df.columns, (F.row_number().over(inside) + F.col("n_")).alias("place"), *[c.cast("double").alias(k) for k, c in own.items()])
+
+
 def water_fill(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """sizes: source, source_size (one row a source). Adds target; weights repeat over the sources by code point, null last."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    level = Window.orderBy(F.col("ratio").asc(), F.col("rank")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    return (
-        sizes.withColumn("rank", F.row_number().over(order))
-        .withColumn("weight", w)
-        .withColumn("cap", F.col("source_size") * float(max_epochs))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(every) * float(share))
-        .withColumn("all_weight", F.sum("weight").over(every))
-        .withColumn("caps_before", F.coalesce(F.sum("cap").over(level), F.lit(0.0)))
-        .withColumn("weights_before", F.coalesce(F.sum("weight").over(level), F.lit(0.0)))
-        .withColumn("here", (F.col("total") - F.col("caps_before")) / (F.col("all_weight") - F.col("weights_before")))
-        .withColumn("level", F.max(F.when(F.col("ratio") > F.col("here"), F.col("here"))).over(every))
-        .withColumn("target", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("level") * F.col("weight")))
-        .select("source", "source_size", "target")
-    )
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    ranked = placed(sizes.select("source", "source_size"), F.col("source").asc_nulls_last())
+    ranked = ranked.withColumn("weight", w).withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("ratio", F.col("cap") / F.col("weight")).withColumnRenamed("place", "rank")
+    filled = materialize(placed(ranked, F.col("ratio").asc(), F.col("rank").asc(), caps_before="cap", weights_before="weight"), "filled")
+    every = filled.agg((F.sum("source_size") * float(share)).alias("total"), F.sum("weight").alias("all_weight"))
+    here = (F.col("total") - F.col("caps_before")) / (F.col("all_weight") - F.col("weights_before"))
+    filled = filled.join(F.broadcast(every)).withColumn("here", here)  # one row
+    level = filled.agg(F.max(F.when(F.col("ratio") > F.col("here"), F.col("here"))).alias("level"))
+    target = F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("level") * F.col("weight"))
+    return filled.join(F.broadcast(level)).select("source", "source_size", target.alias("target"))
 
 
 def draw(doc_id: str, seed: str) -> Column:
@@ -66,9 +74,8 @@ def draw(doc_id: str, seed: str) -> Column:
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, text: str = "text", sized: DataFrame | None = None) -> DataFrame:
     """docs: doc_id, source and text. Adds size, source_size, target, taken, whole (repetitions of all words),
-    part (words of the last, partial one) and part_start (its first word, counted from 0; the window wraps round)."""
-    added = ("size", "source_size", "target", "taken", "whole", "part", "part_start")
-    sized = docs.drop(*added).withColumn("size", n_words(text)) if sized is None else sized
+    part (words of the last, partial one) and part_start (its first word, counted from 0)."""
+    sized = docs.drop(*ADDED).withColumn("size", n_words(text)) if sized is None else sized
     of = fresh(sized, "_of")
     by_source = materialize(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs), "sources").withColumnRenamed("source", of)
     joined = sized.join(dimension(by_source), sized["source"].eqNullSafe(by_source[of]), "left").drop(of)
@@ -78,25 +85,26 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
         joined.withColumn("taken", taken)
         .withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long"))
         .withColumn("part", F.col("taken") - F.col("whole") * F.col("size"))
-        .withColumn("part_start", F.floor(draw("doc_id", seed + ":window") * F.col("size")).cast("long"))
+        .withColumn("part_start", F.floor(draw("doc_id", seed + ":window") * (F.col("size") - F.col("part") + 1)).cast("long"))
     )
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The mix itself, with the columns of docs: each document as often as it is taken, its partial repetition as the
-    words of its window joined by single spaces. n_chars, where there, is that of the row's text."""
-    names = docs.columns
-    mixed = mix_sources(docs, text=text, **how)
+    """The mix itself, with the columns and values of docs: each document as often as it is taken, its partial repetition
+    as the window of its text. n_chars, where there, is that of the row's text."""
+    named, back = aside(docs, *ADDED)
+    mixed = mix_sources(named, text=text, **how)
     copy = fresh(mixed, "_copy")
-    words = F.filter(F.split(F.col(text), SPACE_CLASS), lambda x: x != "")
-    twice = F.concat(words, words)
-    window = F.array_join(F.slice(twice, (F.col("part_start") + 1).cast("int"), F.col("part").cast("int")), " ")
+    # Words, each with the blanks after it; blanks before the first word are a piece of their own
+    pieces = F.split(F.col(text), rf"(?<={SPACE_CLASS[:-1]})(?=[^{SPACE_CLASS[1:-1]})")
+    first = F.col("part_start") + 1 + F.col(text).rlike(rf"^{SPACE_CLASS[:-1]}").cast("int")
+    window = F.regexp_replace(F.array_join(F.slice(pieces, first.cast("int"), F.col("part").cast("int")), ""), rf"{SPACE_CLASS}\z", "")
     copies = F.concat(F.sequence(F.lit(1), F.lit(int(how.get("max_epochs", MAX_EPOCHS)))), F.array(F.lit(0)))
     out = mixed.withColumn(copy, F.explode(F.filter(copies, lambda k: ((k > 0) & (k <= F.col("whole"))) | ((k == 0) & (F.col("part") > 0)))))
     out = out.withColumn(text, F.when(F.col(copy) == 0, window).otherwise(F.col(text)))
-    if "n_chars" in names:
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return back(out)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +138,6 @@ taking AS (
 SELECT doc_id, size, source_size, target, taken,
   CASE WHEN size > 0 THEN taken // size ELSE 0 END::BIGINT AS whole,
   taken - CASE WHEN size > 0 THEN taken // size ELSE 0 END * size AS part,
-  floor(v * size)::BIGINT AS part_start
+  floor(v * (size - (taken - CASE WHEN size > 0 THEN taken // size ELSE 0 END * size) + 1))::BIGINT AS part_start
 FROM taking
 """

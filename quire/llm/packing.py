@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import lean, read
 from .tokens import default_path, encoder
@@ -113,5 +114,11 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(packed, "tokens"), schema)
 
 
+def sequences(pieces: DataFrame) -> DataFrame:
+    """sequence_id and the ids of each sequence, of pieces with ids: a sequence is at most `length` of them."""
+    held = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+    return held.select("sequence_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))

@@ -4,9 +4,10 @@ A candidate is a private key from its BEGIN to its END line (the BEGIN line alon
 `SHORT` letters, digits and signs right after a name that asks for a secret and `=`, `:` or `=>`, or any run of at least
 `LEAST` letters, digits and `_ + / . -`; `=` ends a run, but for padding.
 The text is cut at its candidates by one regular-expression pass, so offsets are running sums over the cuts. Numbers
-describe each candidate: length, transitions between kinds of characters and how usual its pairs of letters are,
-kinds' shares, coverage by dictionary words, whether it stands in a path or address, and words and signs beside it. A
-random forest trained on labelled findings (a table: left, finding, right, label) tells secrets from look-alikes.
+describe each candidate, all of it: length, transitions between kinds of characters and how usual its pairs of letters
+are, kinds' shares, coverage by dictionary words (a fixed list, and the `WORDS` words that most documents of the corpus
+use, counted over all of them), whether it stands in a path or address, and words and signs beside it. A random forest
+trained on labelled findings (a table: left, finding, right, label) tells secrets from look-alikes.
 
 Without findings of their own, users get `labelled_findings`: generated rows of usual kinds of secrets and look-alikes.
 
@@ -18,6 +19,8 @@ texts are scanned whole; a very long candidate is one finding. An empty table gi
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ KEY = r"[A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
 CANDIDATE = rf"-----BEGIN {KEY}(?:[\s\S]*?-----END {KEY})?|(?<=[=: \"'])(?=[{SIGNS}]{{{SHORT}}})(?i:{GIVEN})[{SIGNS}]{{{SHORT},}}{PAD}|(?<![{CHARS}])(?=[_+/.\-]*[A-Za-z0-9])[{CHARS}]{{{LEAST},}}{PAD}"
 CUT = "\ue0f1"  # private use: stands for a blank in the scanned copy should a text hold it
 CONTEXT = 48
+WORDS = 5_000
 TREES, DEPTH = 24, 7
 MARK = "[SECRET]"
 
@@ -63,17 +67,28 @@ def _usual() -> str:
 
 
 _PAIRS = _usual()
-NAMES = ("length", "transitions", "pairs", "digits", "upper", "lower", "marks", "distinct", "hexadecimal", "dictionary", "dots", "slashes", "in_path", "asked", "assigned", "quoted", "denied", "closed", "header", "longest_run")
+NAMES = ("length", "transitions", "pairs", "digits", "upper", "lower", "marks", "distinct", "hexadecimal", "dictionary", "words", "dots", "slashes", "in_path", "asked", "assigned", "quoted", "denied", "closed", "header", "longest_run")
 
 
-def features(df: DataFrame) -> DataFrame:
-    """Adds the numbers of NAMES; df: left, finding, right."""
+def corpus_words(docs: DataFrame, text: str = "text", n: int = WORDS) -> list[str]:
+    """The n words (of 3 to 24 letters a-z) that most texts have, ties by the word; words of a single text aren't. One row
+    a word is shuffled after partial counts; n of them reach the driver."""
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z]+"))).alias("w")).where("length(w) between 3 and 24")
+    counted = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+    return [r["w"] for r in counted.orderBy(F.col("n").desc(), "w").limit(n).collect()]
+
+
+def features(df: DataFrame, dictionary: Iterable[str] = ()) -> DataFrame:
+    """Adds the numbers of NAMES; df: left, finding, right. dictionary: words (a-z) beside those of DICTIONARY."""
     c, left, right = F.col("finding"), F.coalesce(F.col("left"), F.lit("")), F.coalesce(F.col("right"), F.lit(""))
     n = F.greatest(F.length(c), F.lit(1))
     less = lambda pattern, x=c: (F.length(x) - F.length(F.regexp_replace(x, pattern, ""))).cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]", "."), "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d")
-    lower = F.lower(F.substring(c, 1, 64))
-    pairs = F.expr(f"aggregate(sequence(1, greatest(length(low) - 1, 1)), 0D, (s, i) -> s + CASE WHEN instr('{_ALPHABET}', substring(low, i, 1)) > 0 AND length(substring(low, i + 1, 1)) = 1 AND instr('{_ALPHABET}', substring(low, i + 1, 1)) > 0 THEN CAST(substring('{_PAIRS}', 36 * (instr('{_ALPHABET}', substring(low, i, 1)) - 1) + instr('{_ALPHABET}', substring(low, i + 1, 1)), 1) AS DOUBLE) ELSE 0D END) / greatest(length(low) - 1, 1)")
+    lower = F.lower(c)
+    usual = f"CASE WHEN instr('{_ALPHABET}', a) > 0 AND instr('{_ALPHABET}', b) > 0 THEN CAST(substring('{_PAIRS}', 36 * (instr('{_ALPHABET}', a) - 1) + instr('{_ALPHABET}', b), 1) AS DOUBLE) ELSE 0D END"
+    pairs = F.expr(f"aggregate(zip_with(slice(chars, 1, greatest(size(chars) - 1, 0)), slice(chars, 2, greatest(size(chars) - 1, 0)), (a, b) -> {usual}), 0D, (s, x) -> s + x) / greatest(size(chars) - 1, 1)")
+    known = ", ".join(f"'{w}'" for w in sorted({*(w for w in DICTIONARY if len(w) > 2), *dictionary}))
+    covered = F.expr(f"CAST(aggregate(filter(split(regexp_replace(finding, '([a-z])(?=[A-Z])', '$1 '), '[^A-Za-z]+'), x -> length(x) > 2), 0, (s, x) -> s + IF(lower(x) IN ({known}), length(x), 0)) AS DOUBLE)")
     words = "(?i)(" + "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: -len(w))) + ")"
     values = {
         "length": n.cast("double"),
@@ -83,9 +98,10 @@ def features(df: DataFrame) -> DataFrame:
         "upper": less("[A-Z]") / n,
         "lower": less("[a-z]") / n,
         "marks": less("[^A-Za-z0-9]") / n,
-        "distinct": F.size(F.array_distinct(F.split(lower, ""))) / F.least(n, F.lit(64)),
+        "distinct": F.size(F.array_distinct("chars")) / F.least(n, F.lit(64)),
         "hexadecimal": c.rlike(r"^[0-9a-fA-F]+$").cast("double"),
-        "dictionary": less(words, lower) / F.greatest(F.length(lower), F.lit(1)),
+        "dictionary": less(words, lower) / n,
+        "words": covered / n,
         "dots": less(r"\.") / n,
         "slashes": less("/") / n,
         "in_path": (left.rlike(r"(://|www\.|/|\\|@)[^\s\"']*$") | c.rlike(r"/[^/]+/")).cast("double"),
@@ -97,8 +113,8 @@ def features(df: DataFrame) -> DataFrame:
         "header": c.startswith("-----BEGIN").cast("double"),
         "longest_run": F.array_max(F.transform(F.split(F.regexp_replace(kinds, r"((.)\2*)", "$1 "), " "), lambda x: F.length(x))) / n,
     }
-    out = df.withColumn("low", lower).select("*", *[v.cast("double").alias(k) for k, v in values.items()])
-    return out.drop("low")
+    out = df.withColumn("chars", F.filter(F.split(lower, ""), lambda x: x != "")).select("*", *[v.cast("double").alias(k) for k, v in values.items()])
+    return out.drop("chars")
 
 
 def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
@@ -147,6 +163,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
         (F.concat(plain, F.lit("src/")), F.concat(word("p1"), F.lit("/"), word("p2"), F.lit("/"), word("p3"), F.lit("_v2."), word("p4")), after),
         (plain, F.concat_ws("/", word("x1"), word("x2"), word("x3"), word("x4"), F.lit("index.html")), after),
         (plain, pick("y1", "internationalization", "incomprehensibility", "Verantwortungsbewusstsein", "anticonstitutionnellement", "well-known-and-often-used", "some_function_of_the_module", "telecommunications", "responsabilidades"), after),
+        (F.upper(plain), F.upper(F.concat(word("Y1"), pick("Y2", "SCHAFT", "ATION", "MENTE", "UNGEN"), word("Y3"), pick("Y4", "KEITEN", "ERIES", "ABILITY", "IDADES"), word("Y5"))), F.upper(after)),
         (F.concat(prose("z"), F.lit(" "), name, pick("z1", ": ", "=", " = ", ': "')), pick("z2", "required", "undefined", "something", "the-default-value", "process.env.TOKEN", "get_password_from_user", "important", "https://example.com/docs/index"), after),
         (plain, F.concat(F.lit("2024-05-06T07"), F.lit("-0"), F.lit("9-10.123456")), after),
     ]
@@ -160,17 +177,25 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
     return materialize(candidates(materialize(texts, "generated")).where(own).select("left", "finding", "right", "label"), "training")
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11):
-    """A fitted forest over features of labelled findings (left, finding, right, label)."""
+class Model(NamedTuple):
+    """A fitted forest and the dictionary that its numbers were made with."""
+
+    forest: object
+    words: tuple[str, ...]
+
+
+def train(findings: DataFrame, words: Iterable[str] = (), trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> Model:
+    """A forest over features of labelled findings (left, finding, right, label)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(features(findings)).select("features", "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
+    words = tuple(words)
+    rows = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(features(findings, words)).select("features", "label")
+    return Model(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows), words)
 
 
 #: Columns of these names are replaced by the scan's own.
-RESERVED = ("start", "finding", "left", "right", "cuts", "ends", "low", *NAMES, "features", "rawPrediction", "probability", "prediction", "score", "predicted")
+RESERVED = ("start", "finding", "left", "right", "cuts", "ends", "chars", *NAMES, "features", "rawPrediction", "probability", "prediction", "score", "predicted")
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -193,17 +218,17 @@ def _long_sums() -> Column:
     return F.expr(f"concat(array(0), flatten(transform({inside}, (p, b) -> transform(slice(p, 2, size(p) - 1), v -> v + ({heads})[b]))))")
 
 
-def scan(docs: DataFrame, model, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Candidates with score (0 to 1) and predicted (1: a secret)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(features(candidates(docs, text)))
-    scored = model.transform(rows).withColumn("score", F.round(F.element_at(vector_to_array("probability"), 2), 9))
+    rows = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(features(candidates(docs, text), model.words))
+    scored = model.forest.transform(rows).withColumn("score", F.round(F.element_at(vector_to_array("probability"), 2), 9))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(*NAMES, "features", "rawPrediction", "probability", "prediction")
 
 
-def redacted(docs: DataFrame, model, text: str = "text", mark: str = MARK) -> DataFrame:
+def redacted(docs: DataFrame, model: Model, text: str = "text", mark: str = MARK) -> DataFrame:
     """docs with each secret's text replaced by a mark; rows and other columns stay (n_chars is the new length)."""
     id_, key, own, spans = (fresh(docs, n) for n in ("_id", "_key", "_own", "_spans"))
     keyed = docs.select("doc_id", F.col(text).alias("text")).withColumn("_key", F.xxhash64("text"))
@@ -220,5 +245,6 @@ def redacted(docs: DataFrame, model, text: str = "text", mark: str = MARK) -> Da
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each candidate of every document: doc_id, start, length, sha256 of it, score, predicted."""
-    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), train(labelled_findings(spark)))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, train(labelled_findings(spark), corpus_words(docs)))
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.length("finding").cast("long").alias("length"), F.sha2(F.col("finding").cast("binary"), 256).alias("sha256"), "score", "predicted")

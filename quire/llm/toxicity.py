@@ -116,10 +116,12 @@ def fit(texts: list[str | None], labels: np.ndarray, dims: int = DIMS, orders: t
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, column: str, learn, max_rows: int) -> DataFrame:
-    """At most max_rows labelled texts (text, label), by a hash of the id; their ids are broadcast, max_rows at most."""
+    """At most max_rows labelled texts (text, label), by a hash of the id; their ids are broadcast, max_rows at most. An id
+    that repeats gives one text, the first by code point."""
     best = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).where(learn).groupBy("doc_id").agg(F.max(column).alias("_label"))
     chosen = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("_label").cast("double").alias("label"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    return texts.select("text", F.col("_label").cast("double").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", learn=None, max_rows: int = MAX_ROWS, dims: int = DIMS, orders: tuple = ORDERS) -> dict:
