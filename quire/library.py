@@ -34,10 +34,21 @@ class Library:
         for c in corpora:
             K.replace_corpus(c.word_index(self.spark, from_texts).drop("id").join(keys, "_id"), f"{self.folder}/word_index")
 
-    def match(self, corpora: tuple[str, ...] = (), fuzzy: bool = False) -> None:
-        """Matches all records, or some corpora's, tier by tier, and groups them."""
+    def id_links(self, corpora: list[C.Corpus]) -> list[DataFrame]:
+        """Pairs that corpora declare by match_links {other: (my column, its column)}; `id` or a column of the metadata."""
+        texts, out = self.table("texts"), []
+        value = lambda c: F.col("id") if c == "id" else F.from_json("meta", "map<string,string>")[c]
+        for c in corpora:
+            for other, (mine, theirs) in c.match_links.items():
+                own = texts.where(F.col("corpus") == c.name).select("_id", value(mine).alias("key"))
+                out.append(M.id_link(own, texts.where(F.col("corpus") == other).select("_id", value(theirs).alias("key"))))
+        return out
+
+    def match(self, corpora: tuple[str, ...] = (), fuzzy: bool = False, declared: list[C.Corpus] | None = None) -> None:
+        """Matches all records, or some corpora's, tier by tier, and groups them. declared: corpora whose id links come
+        first."""
         rows = self.table("texts") if not corpora else self.table("texts").where(F.col("corpus").isin(*corpora))
-        tiers = [M.exact(rows), M.exact_year(rows), M.containment(rows), M.containment_year(rows)] + ([M.fuzzy(rows)] if fuzzy else [])
+        tiers = [*self.id_links(declared or []), M.exact(rows), M.exact_year(rows), M.containment(rows), M.containment_year(rows)] + ([M.fuzzy(rows)] if fuzzy else [])
         M.first_tier(*tiers).write.mode("overwrite").parquet(f"{self.folder}/matches")
         M.groups(self.table("matches")).write.mode("overwrite").parquet(f"{self.folder}/groups")
 

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that the executors share, and read back: iterations start from it."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/quire/steps-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quire.sources.scratch import kept
 
 
 def undirected(edges: DataFrame) -> DataFrame:

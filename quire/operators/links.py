@@ -20,26 +20,60 @@ def one_to_many(left: DataFrame, right: DataFrame, mine: str, theirs: str) -> Da
     return left.join(right, F.col(mine) == F.col(theirs), "left")
 
 
+def _first(right: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row of each key that isn't null, the first by its columns."""
+    names = [c for c in right.columns if c != key]
+    one = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, *[c for c in names if c not in order])).alias("_r"))
+    return one.select(key, *[F.col("_r")[c].alias(c) for c in names])
+
+
 def coalesced(left: DataFrame, rights: list[tuple[DataFrame, str, str]], value: str) -> DataFrame:
-    """left with a value from the first of several tables (table, my key, its key) that has one."""
+    """left with a value from the first of several tables (table, my key, its key) that has one. Rows of left stay as many
+    as they are: of rows of a table that share a key the smallest value counts."""
     out, names = left, []
     for k, (right, mine, theirs) in enumerate(rights):
         names.append(f"_v{k}")
-        own = right.select(F.col(theirs).alias(f"_k{k}"), F.col(value).alias(f"_v{k}"))
+        own = _first(right.where(F.col(value).isNotNull()).select(F.col(theirs).alias(f"_k{k}"), F.col(value).alias(f"_v{k}")), f"_k{k}")
         out = out.join(own, F.col(mine) == F.col(f"_k{k}"), "left").drop(f"_k{k}")
     return out.withColumn(value, F.coalesce(*names)).drop(*names)
 
 
 def longest_prefix(left: DataFrame, column: str, codes: DataFrame, code: str, lengths: tuple[int, ...]) -> DataFrame:
-    """left with the longest code that its column begins with: an equal join on the prefixes of the codes' lengths."""
-    keys = [c for c in left.columns]
-    spread = left.withColumn("_p", F.explode(F.array_distinct(F.array(*[F.substring(column, 1, n) for n in lengths]))))
-    hit = spread.join(codes.select(F.col(code)).distinct(), F.col("_p") == F.col(code))
-    return hit.groupBy(*keys).agg(F.max_by(code, F.length(code)).alias(code))
+    """left with the longest code that its column begins with, null where none does: one equal join for each of the codes'
+    lengths, longest first. Rows stay as many as they are."""
+    out, names = left, []
+    known = codes.select(F.col(code).alias("_c")).where(F.col(code).isNotNull()).distinct()
+    for k, n in enumerate(sorted(set(lengths), reverse=True)):
+        names.append(f"_p{k}")
+        out = out.join(known.where(F.length("_c") == n).withColumnRenamed("_c", f"_p{k}"), F.substring(column, 1, n) == F.col(f"_p{k}"), "left")
+    return out.withColumn(code, F.coalesce(*names)).drop(*names)
 
 
 def verified(rows: DataFrame, human: DataFrame, key: str, column: str) -> DataFrame:
-    """People's decisions (key, is_match, verified) over matched ids: n clears, anything else sets."""
-    j = rows.join(human, key, "left")
+    """People's decisions (key, is_match, verified) over matched ids: n clears, anything else sets. Of several decisions of
+    a key the first by its columns counts."""
+    j = rows.join(_first(human.select(key, "is_match", "verified"), key), key, "left")
     chosen = F.when(F.col("is_match") == "n", "").when(F.col("verified").isNotNull(), F.col("verified")).otherwise(F.col(column))
     return j.withColumn(column, chosen).select(*rows.columns)
+
+
+def inherited(rows: DataFrame, key: str, refers_to: str, columns: list[str]) -> DataFrame:
+    """Rows whose columns are empty take them from the row they refer to."""
+    source = _first(rows.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns]), "_k")
+    j = rows.join(source, F.col(refers_to) == F.col("_k"), "left")
+    empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    return j.select(*[F.when(empty(c), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def to_verify(rows: DataFrame, others: DataFrame, done: DataFrame, key: str, title: str, block: str, least: float = 0.85) -> DataFrame:
+    """Candidates for people to check: rows that nobody has decided, with the most alike title of the other side in the
+    same block (Jaro-Winkler; at least so alike; ties by the other's key)."""
+    from quire.functions import udfs
+
+    own = rows.join(done.select(key).distinct(), key, "left_anti").select(F.col(key).alias("a"), F.col(title).alias("ta"), block)
+    theirs = others.select(F.col(key).alias("b"), F.col(title).alias("tb"), block)
+    pairs = own.join(theirs, block).where("a <> b")
+    short, long = F.least(F.length("ta"), F.length("tb")), F.greatest(F.length("ta"), F.length("tb"))
+    jaro = (2 + short / long) / 3
+    pairs = pairs.where(jaro + 0.4 * (1 - jaro) >= least).withColumn("score", udfs.jaro_winkler(F.col("ta"), F.col("tb"))).where(F.col("score") >= least)
+    return pairs.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct(F.col("score"), -F.col("b"))).alias("m")).select("a", "m.b", "m.score")

@@ -49,7 +49,8 @@ HELD_YEAR = _held("year", 15, "author_norm IS NULL", "containment_year")
 FUZZY = """SELECT x._id AS a, y._id AS b, round(jaro_winkler_similarity(x.title_norm, y.title_norm), 6) AS similarity, 'fuzzy_title' AS tier
 FROM rec x JOIN rec y ON x.author_norm = y.author_norm AND x._id < y._id AND x.corpus <> y.corpus AND abs(x.year - y.year) <= 20
 WHERE x.author_norm IN (SELECT author_norm FROM rec GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200) AND jaro_winkler_similarity(x.title_norm, y.title_norm) > 0.85"""
-ALL = f"""tiers AS (SELECT *, 1 AS t FROM ({EXACT}) UNION ALL SELECT *, 2 FROM ({EXACT_YEAR}) UNION ALL SELECT *, 3 FROM ({HELD}) UNION ALL SELECT *, 4 FROM ({HELD_YEAR})),
+LINK = """SELECT least(x._id, y._id) AS a, greatest(x._id, y._id) AS b, 1.0::DOUBLE AS similarity, 'id_link' AS tier FROM rec x JOIN rec y ON y.p_partkey = x.p_partkey + 1 WHERE x.p_partkey % 7 = 0"""
+ALL = f"""tiers AS (SELECT *, 0 AS t FROM ({LINK}) UNION ALL SELECT *, 5 FROM ({FUZZY}) UNION ALL SELECT *, 1 AS t FROM ({EXACT}) UNION ALL SELECT *, 2 FROM ({EXACT_YEAR}) UNION ALL SELECT *, 3 FROM ({HELD}) UNION ALL SELECT *, 4 FROM ({HELD_YEAR})),
 pairs AS (SELECT a, b, arg_min(similarity, t) AS similarity, arg_min(tier, t) AS tier FROM tiers GROUP BY a, b)"""
 
 
@@ -86,8 +87,10 @@ def match_fuzzy(spark, d):
 
 
 def tiers(spark, d):
+    """All tiers in their order; every seventh record declares the next one's key."""
     r = records(spark, d)
-    return M.first_tier(M.exact(r), M.exact_year(r), M.containment(r), M.containment_year(r))
+    links = M.id_link(r.where("p_partkey % 7 = 0").select("_id", (F.col("p_partkey") + 1).cast("string").alias("key")), r.select("_id", F.col("p_partkey").cast("string").alias("key")))
+    return M.first_tier(links, M.exact(r), M.exact_year(r), M.containment(r), M.containment_year(r), M.fuzzy(r))
 
 
 @query(f"WITH {RECORDS}, {ALL} SELECT * FROM pairs")
@@ -215,13 +218,16 @@ def two_key_coalesce_join(spark, d):
     li = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     p = S.table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("k1"), F.col("p_name").alias("v"))
     s = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k2"), F.col("s_name").alias("v"))
+    s = s.union(s.select("k2", F.concat("v", F.lit(" again"))))  # a key that repeats
     return L.coalesced(li, [(p, "l_partkey", "k1"), (s, "l_suppkey", "k2")], "v").select("l_orderkey", "l_linenumber", F.col("v").alias("name"))
 
 
-@query("""SELECT c_custkey, arg_max(p, length(p)) AS prefix FROM customer JOIN (SELECT DISTINCT left(c_name, 15) AS p FROM customer UNION SELECT DISTINCT left(c_name, 17) FROM customer WHERE c_custkey % 3 = 0) q ON starts_with(c_name, p) GROUP BY c_custkey""")
+@query("""SELECT c_custkey, (SELECT arg_max(p, length(p)) FROM (SELECT DISTINCT left(c_name, 15) AS p FROM customer WHERE c_custkey % 2 = 0 UNION SELECT DISTINCT left(c_name, 17) FROM customer WHERE c_custkey % 3 = 0) q WHERE starts_with(c_name, p)) AS prefix
+FROM (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey < 20)""")
 def prefix_shelfmark_join(spark, d):
     c = S.table(spark, d, "customer").select("c_custkey", "c_name")
-    codes = c.select(F.substring("c_name", 1, 15).alias("prefix")).union(c.where("c_custkey % 3 = 0").select(F.substring("c_name", 1, 17))).distinct()
+    codes = c.where("c_custkey % 2 = 0").select(F.substring("c_name", 1, 15).alias("prefix")).union(c.where("c_custkey % 3 = 0").select(F.substring("c_name", 1, 17))).distinct()
+    c = c.union(c.where("c_custkey < 20"))  # rows that repeat, and rows without a code, stay
     return L.longest_prefix(c, "c_name", codes, "prefix", (15, 17)).select("c_custkey", "prefix")
 
 
@@ -232,9 +238,12 @@ def verified_override(spark, d):
     return L.verified(docs, human, "doc_id", "linked")
 
 
-@query("SELECT doc_id, source AS linked FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("""WITH c AS (SELECT x.c_custkey AS a, y.c_custkey AS b, jaro_winkler_similarity(x.c_name, y.c_name) AS s FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.c_custkey <> y.c_custkey
+WHERE x.c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND jaro_winkler_similarity(x.c_name, y.c_name) >= 0.85), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM c) SELECT a, b, round(s, 6) AS score FROM r WHERE n = 1""")
 def candidates_to_verify(spark, d):
-    return S.table(spark, d, "documents").select("doc_id", F.col("source").alias("linked")).join(S.table(spark, d, "labels"), "doc_id", "left_anti")
+    c = S.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("title"), F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("block"))
+    done = S.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"))
+    return L.to_verify(c, c, done, "key", "title", "block").withColumn("score", F.round("score", 6))
 
 
 @query("SELECT c_custkey AS key, c_name AS name, 'customer' AS corpus FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier")

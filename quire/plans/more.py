@@ -93,22 +93,35 @@ def rank_trends(spark, d):
     return M.rank_trends(M.ranks_over_periods(ranked(spark, d))).select("word", "neighbour", F.round("slope", 6).alias("slope"))
 
 
-@query(f"WITH {NEAR} SELECT neighbour AS word, count(*)::BIGINT AS n FROM near WHERE h = 0 GROUP BY 1")
+def all_labels(spark, d):
+    e = S.table(spark, d, "embeddings").withColumn("word", F.concat(F.lit("l"), F.col("label").cast("string")))
+    return V.gathered(V.centroids(e, "word", "embedding"), "word")
+
+
+WHOLE = """x AS (SELECT 'l' || label AS word, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+c AS (SELECT word, dim, avg(x) AS value FROM x GROUP BY ALL), v AS (SELECT word, list(value ORDER BY dim) AS v FROM c GROUP BY ALL)"""
+AXIS = """m AS (SELECT dim, avg(value) FILTER (word IN ('l0', 'l1')) - avg(value) FILTER (word IN ('l2', 'l3')) AS value FROM c GROUP BY dim), a AS (SELECT list(value ORDER BY dim) AS a FROM m),
+s AS (SELECT word, list_cosine_similarity(v, a) AS score FROM v, a)"""
+
+
+@query(f"""WITH {WHOLE}, p AS (SELECT a.word, b.word AS neighbour, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.word <> b.word),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, neighbour) AS place FROM p) SELECT neighbour AS word, count(*)::BIGINT AS n FROM r WHERE place <= 4 GROUP BY 1""")
 def hubness(spark, d):
-    return M.hubness(M.neighbours(labels(spark, d, False), 4))
+    return M.hubness(M.neighbours(all_labels(spark, d), 4))
 
 
-@query(f"""WITH {HALVES}, m AS (SELECT dim, avg(value) FILTER (word IN ('l0', 'l1')) - avg(value) FILTER (word IN ('l2', 'l3')) AS value FROM c WHERE h = 0 GROUP BY dim), a AS (SELECT list(value ORDER BY dim) AS a FROM m)
-SELECT word, round(list_cosine_similarity(v, a), 6) AS score FROM v, a WHERE h = 0""")
+@query(f"WITH {WHOLE}, {AXIS} SELECT word, round(score, 6) AS score FROM s")
 def semantic_axis(spark, d):
-    v = labels(spark, d, False)
+    v = all_labels(spark, d)
     return M.on_axis(v, M.axis(v, ["l0", "l1"], ["l2", "l3"])).select("word", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {WHOLE}, {AXIS}, k AS (SELECT avg(score) AS m FROM s), q AS (SELECT avg((score - m) ** 2) AS v, avg((score - m) ** 3) AS t, avg((score - m) ** 4) AS f, avg(CASE WHEN abs(score) > 0.1 THEN 1.0 ELSE 0.0 END) AS beyond FROM s, k)
+SELECT 'axis' AS axis, round(v, 6) AS variance, round(t / v ** 1.5, 6) AS skewness, round(f / v ** 2 - 3, 6) AS kurtosis, round(beyond, 6) AS beyond FROM q""")
 def axis_statistics(spark, d):
-    v = labels(spark, d, False)
-    return M.axis_statistics(M.on_axis(v, M.axis(v, ["l0", "l1"], ["l2", "l3"])))
+    v = all_labels(spark, d)
+    out = M.axis_statistics(M.on_axis(v, M.axis(v, ["l0", "l1"], ["l2", "l3"])))
+    return out.select("axis", *[F.round(c, 6).alias(c) for c in ("variance", "skewness", "kurtosis", "beyond")])
 
 
 def brand_edges(spark, d):
@@ -126,10 +139,10 @@ def property_graph(spark, d):
     return G.property_edges(p, ["brand", "type"]).groupBy("dst").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT conv_id AS a, conv_id + 1 + conv_id % 3 AS b FROM conversations WHERE conv_id % 10 < 6), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT conv_id AS a, conv_id + 1 + conv_id % 3 AS b FROM conversations), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT 10::BIGINT AS node, 0::BIGINT AS hops UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON u.a = r.node WHERE r.hops < 4) SELECT node, min(hops) AS hops FROM r GROUP BY node""")
 def reachable(spark, d):
-    c = S.table(spark, d, "conversations").where("conv_id % 10 < 6").select(F.col("conv_id").alias("src"), (F.col("conv_id") + 1 + F.col("conv_id") % 3).alias("dst"))
+    c = S.table(spark, d, "conversations").select(F.col("conv_id").alias("src"), (F.col("conv_id") + 1 + F.col("conv_id") % 3).alias("dst"))
     return G.reachable(c, [10], 4)
 
 
@@ -153,8 +166,8 @@ def word_windows(spark, d):
     return S.texts(spark, d).select("_id", T.let(T.tokens("text"), ends).alias("e")).where("e.n > 0").select("_id", "e.first", "e.last")
 
 
-@query("SELECT label::BIGINT AS label, round(corr(x, m), 6) AS r FROM (SELECT label, o, x, median(x) OVER (PARTITION BY label % 2, o) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS o, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 200)) GROUP BY label")
+@query("SELECT label::BIGINT AS label, round(corr(x, m), 6) AS r FROM (SELECT label, o, x, median(x) OVER (PARTITION BY label % 2, o) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS o, unnest(embedding)::DOUBLE AS x FROM embeddings)) GROUP BY label")
 def cluster_correlation(spark, d):
-    e = S.table(spark, d, "embeddings").where("vec_id < 200").select(F.col("label").cast("long").alias("word"), F.posexplode("embedding").alias("x", "value")).withColumn("value", F.col("value").cast("double"))
+    e = S.table(spark, d, "embeddings").select(F.col("label").cast("long").alias("word"), F.posexplode("embedding").alias("x", "value")).withColumn("value", F.col("value").cast("double"))
     parts = e.select("word", (F.col("word") % 2).alias("cluster")).distinct()
     return M.cluster_correlation(e, parts).select(F.col("word").alias("label"), F.round("r", 6).alias("r"))

@@ -86,18 +86,17 @@ def cosine_knn(spark, d):
     return V.nearest(e.where("id % 50 = 0"), e, 5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH {WORDS}, d AS (SELECT word, count(*) AS df FROM word_index GROUP BY word HAVING count(*) BETWEEN 2 AND 40),
-w AS (SELECT _id, word, "count" * (ln((1.0 + (SELECT count(*) FROM texts)) / (1 + df)) + 1) AS w FROM word_index JOIN d USING (word)),
+@query(f"""WITH {WORDS}, m AS (SELECT word FROM word_index GROUP BY word ORDER BY sum("count") DESC, word LIMIT 5000), l AS (SELECT * FROM word_index WHERE word IN (SELECT word FROM m)), d AS (SELECT word, count(*) AS df FROM l GROUP BY word),
+w AS (SELECT _id, word, "count" * (ln((1.0 + (SELECT count(*) FROM texts)) / (1 + df)) + 1) AS w FROM l JOIN d USING (word)),
 u AS (SELECT _id, word, w / sqrt(sum(w * w) OVER (PARTITION BY _id)) AS weight FROM w),
-p AS (SELECT a._id AS a, b._id AS b, round(sum(a.weight * b.weight), 4) AS similarity FROM u a JOIN u b ON a.word = b.word AND a._id <> b._id GROUP BY 1, 2 HAVING round(sum(a.weight * b.weight), 4) >= 0.8),
+p AS (SELECT a._id AS a, b._id AS b, round(sum(a.weight * b.weight), 6) AS similarity FROM u a JOIN u b ON a.word = b.word AND a._id <> b._id GROUP BY 1, 2 HAVING round(sum(a.weight * b.weight), 6) >= 0.8),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM p)
-SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, similarity FROM r WHERE n <= 5""")
+SELECT DISTINCT least(a, b) AS id_1, greatest(a, b) AS id_2, round(similarity, 4) AS similarity FROM r WHERE n <= 10""")
 def find_duplicates(spark, d):
-    t = S.texts(spark, d)
-    index = S.word_index(t.select("_id", "text"))
-    words = W.vocabulary(index, 2_000_000).where("df between 2 and 40")
-    rows = index.join(words.select("word"), "word", "left_semi").select("_id", "word", F.col("count").alias("n"))
-    return V.duplicates(W.tfidf_smooth(rows, F.lit(t.count())).select("_id", "word", "weight"), 5, 0.8)
+    index = S.stored_index(spark, d)
+    rows = index.join(F.broadcast(W.most_frequent(index, 5000).select("word")), "word", "left_semi").select("_id", "word", F.col("count").alias("n"))
+    n = S.table(spark, d, "documents").count()
+    return V.duplicates(W.tfidf_smooth(rows, F.lit(n)).select("_id", "word", "weight"))
 
 
 CENTROIDS = """x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, dim, avg(x) AS value FROM x GROUP BY ALL),
@@ -233,20 +232,20 @@ def two_hop_overlap(spark, d):
     return G.two_hops(S.table(spark, d, "part").select(F.col("p_brand").alias("src"), F.col("p_name").alias("dst")), 30)
 
 
-CHAIN = "c AS (SELECT DISTINCT conv_id AS src, conv_id + 1 + conv_id % 3 AS dst FROM conversations WHERE conv_id % 10 < 6)"
+CHAIN = "c AS (SELECT DISTINCT conv_id AS src, conv_id + 1 + conv_id % 3 AS dst FROM conversations)"
 
 
 @query(f"""WITH RECURSIVE {CHAIN}, r AS (SELECT src, dst, 1 AS hops FROM c UNION SELECT r.src, c.dst, r.hops + 1 FROM r JOIN c ON c.src = r.dst WHERE r.hops < 6)
 SELECT src, dst, min(hops)::INTEGER AS hops FROM r GROUP BY src, dst""")
 def closure(spark, d):
-    c = S.table(spark, d, "conversations").where("conv_id % 10 < 6").select(F.col("conv_id").alias("src"), (F.col("conv_id") + 1 + F.col("conv_id") % 3).alias("dst"))
+    c = S.table(spark, d, "conversations").select(F.col("conv_id").alias("src"), (F.col("conv_id") + 1 + F.col("conv_id") % 3).alias("dst"))
     return G.closure(c, 6)
 
 
 @query(f"""WITH RECURSIVE {CHAIN}, b AS (SELECT src, dst FROM c UNION SELECT dst, src FROM c), r AS (SELECT src AS node, src AS seen FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.seen)
 SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def connected_components(spark, d):
-    c = S.table(spark, d, "conversations").where("conv_id % 10 < 6").select(F.col("conv_id").alias("src"), (F.col("conv_id") + 1 + F.col("conv_id") % 3).alias("dst"))
+    c = S.table(spark, d, "conversations").select(F.col("conv_id").alias("src"), (F.col("conv_id") + 1 + F.col("conv_id") % 3).alias("dst"))
     return G.components(c.distinct())
 
 

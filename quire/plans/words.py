@@ -14,12 +14,12 @@ IN = ", ".join(f"'{w}'" for w in TRACKED)
 
 
 def index(spark, d):
-    return S.word_index(S.texts(spark, d).select("_id", "corpus", "id", "year", "genre", "text"))
+    return S.stored_index(spark, d)
 
 
 @query(f"WITH {WORDS} SELECT _id, word, \"count\" FROM word_index")
 def word_index(spark, d):
-    return index(spark, d).select("_id", "word", "count")
+    return S.word_index(S.texts(spark, d).select("_id", "text")).select("_id", "word", "count")
 
 
 @query(f"WITH {WORDS} SELECT _id, sum(\"count\")::BIGINT AS n_words FROM word_index GROUP BY _id")
@@ -103,7 +103,7 @@ kept AS (SELECT _id FROM (SELECT _id, row_number() OVER (PARTITION BY title, aut
 def ngram_dedup(spark, d):
     t = S.texts(spark, d).withColumn("grp", F.concat_ws("\u0001", "title", "author"))
     kept = W.kept_by(t, "grp", [F.col("year").asc_nulls_last(), F.col("_id")])
-    return W.series(S.word_index(kept.select("_id", "corpus", "id", "year", "genre", "text")), TRACKED)
+    return W.series(index(spark, d).join(kept.select("_id"), "_id", "left_semi"), TRACKED)
 
 
 @query(f"""WITH s AS ({_series_sql(10)})
@@ -166,22 +166,26 @@ def tfidf_log10(spark, d):
     return W.tfidf_log10(long(spark, d), F.lit(n)).select("_id", "word", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH {WORDS}, {M} SELECT word, round(median(tf) FILTER (genre = 'Drama'), 6) AS "Drama", round(median(tf) FILTER (genre = 'Fiction'), 6) AS "Fiction"
-FROM long JOIN texts USING (_id) WHERE genre IN ('Drama', 'Fiction') GROUP BY word""")
+@query(f"""WITH {WORDS}, {M}, f AS (SELECT m.word, texts.genre, coalesce(long.tf, 0) AS tf FROM m CROSS JOIN texts LEFT JOIN long ON long._id = texts._id AND long.word = m.word)
+SELECT genre AS "group", word, round(median(tf), 6) AS median FROM f GROUP BY ALL""")
 def mdw_median(spark, d):
-    groups = S.texts(spark, d).where("genre in ('Drama', 'Fiction')").select("_id", F.col("genre").alias("group"))
-    out = W.group_medians(long(spark, d), groups, ["Drama", "Fiction"])
-    return out.select("word", *[F.round(c, 6).alias(c) for c in ("Drama", "Fiction")])
+    groups = S.texts(spark, d).select("_id", F.col("genre").alias("group"))
+    i = index(spark, d)
+    words = W.most_frequent(i, 100)
+    return W.group_medians(W.matrix(i, words), groups, words).withColumn("median", F.round("median", 6))
 
 
-@query(f"""WITH {WORDS}, {M}, g AS (SELECT _id, genre FROM texts WHERE genre IN ('Drama', 'Fiction')), ws AS (SELECT DISTINCT word FROM long JOIN g USING (_id)),
-f AS (SELECT ws.word, g.genre, coalesce(long.tf, 0) AS tf FROM ws CROSS JOIN g LEFT JOIN long ON long._id = g._id AND long.word = ws.word),
-r AS (SELECT *, rank() OVER (PARTITION BY word ORDER BY tf) + (count(*) OVER (PARTITION BY word, tf) - 1) / 2.0 AS r FROM f),
-s AS (SELECT word, sum(r) FILTER (genre = 'Drama') AS ranks, count(*) FILTER (genre = 'Drama') AS na, count(*) FILTER (genre = 'Fiction') AS nb FROM r GROUP BY word)
-SELECT word, round((ranks - na * (na + 1) / 2.0)::DOUBLE, 6) AS u, round(((ranks - na * (na + 1) / 2.0) - na * nb / 2.0) / sqrt(na * nb * (na + nb + 1) / 12.0), 6) AS z FROM s""")
+@query(f"""WITH {WORDS}, {M}, g AS (SELECT _id, genre FROM texts), ws AS (SELECT DISTINCT word FROM long), f AS (SELECT ws.word, g._id, g.genre, coalesce(long.tf, 0) AS tf FROM ws CROSS JOIN g LEFT JOIN long ON long._id = g._id AND long.word = ws.word),
+gp AS (SELECT a.genre AS g1, b.genre AS g2 FROM (SELECT DISTINCT genre FROM g) a JOIN (SELECT DISTINCT genre FROM g) b ON a.genre < b.genre),
+pr AS (SELECT f.word, g1, g2, genre, tf FROM f JOIN gp ON genre = g1 OR genre = g2),
+r AS (SELECT *, rank() OVER (PARTITION BY word, g1, g2 ORDER BY tf) + (count(*) OVER (PARTITION BY word, g1, g2, tf) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY word, g1, g2, tf)::DOUBLE AS t FROM pr),
+s AS (SELECT word, g1 AS group1, g2 AS group2, sum(r) FILTER (genre = g1)::DOUBLE AS ranks, (count(*) FILTER (genre = g1))::DOUBLE AS na, (count(*) FILTER (genre = g2))::DOUBLE AS nb, sum(t * t - 1) AS ties,
+  avg(tf) FILTER (genre = g1) AS m1, avg(tf) FILTER (genre = g2) AS m2 FROM r GROUP BY ALL)
+SELECT word, group1, group2, round(ranks - na * (na + 1) / 2, 4) AS u, round((ranks - na * (na + 1) / 2 - na * nb / 2) / sqrt(na * nb / 12 * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1)))), 6) AS z, round(m1, 6) AS group1_mean, round(m2, 6) AS group2_mean FROM s""")
 def mann_whitney_u(spark, d):
     groups = S.texts(spark, d).select("_id", F.col("genre").alias("group"))
-    return W.mann_whitney(long(spark, d), groups, "Drama", "Fiction").select("word", F.round(F.col("u").cast("double"), 6).alias("u"), F.round("z", 6).alias("z"))
+    out = W.mann_whitney(long(spark, d), groups)
+    return out.select("word", "group1", "group2", F.round("u", 4).alias("u"), *[F.round(c, 6).alias(c) for c in ("z", "group1_mean", "group2_mean")])
 
 
 FIELDS = [("being", "was"), ("being", "are"), ("article", "the"), ("article", "die"), ("article", "la"), ("link", "and"), ("link", "que")]

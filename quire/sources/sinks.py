@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a file of a driver's format takes; a larger table is refused, not cut.
+DRIVER_ROWS = 1_000_000
+
+
 def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
@@ -15,7 +19,10 @@ def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     elif kind in ("json", "jsonl"):
         df.write.mode(mode).json(path)
     elif kind in ("xlsx", "feather", "pkl", "pickle"):
-        frame = df.limit(1_000_000).toPandas()  # these kinds hold a driver's table
+        n = df.limit(DRIVER_ROWS + 1).count()
+        if n > DRIVER_ROWS:
+            raise ValueError(f"{kind} files are written by the driver: at most {DRIVER_ROWS} rows")
+        frame = df.toPandas()
         {"xlsx": frame.to_excel, "feather": frame.to_feather, "pkl": frame.to_pickle, "pickle": frame.to_pickle}[kind](path)
     else:
         df.write.mode(mode).parquet(path)

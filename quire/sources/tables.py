@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
+from . import scratch
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -51,3 +53,16 @@ def word_index(texts: DataFrame) -> DataFrame:
     pieces = texts.select(*kept, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_'\-]+")).alias("w"))
     counts = pieces.select(*kept, F.btrim("w", F.lit("_'-")).alias("word")).where("word <> ''").groupBy(*kept, "word").agg(F.count("*").alias("count"))
     return counts.where(T.is_word("word"))
+
+
+#: Word indexes that this session has written, by application and by the files they were counted from.
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The word index of all documents, counted once and kept as a table, as a library keeps its own. Questions read the
+    columns they ask for. A folder whose files change is counted anew."""
+    key = (spark.sparkContext.applicationId, *scratch.stamp(spark, f"{folder}/documents.parquet"))
+    if key not in _STORED:
+        _STORED[key] = scratch.kept(word_index(texts(spark, folder).select("_id", "corpus", "id", "year", "genre", "text")), "word-index")
+    return _STORED[key]
