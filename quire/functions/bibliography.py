@@ -101,3 +101,12 @@ def coerced(value: Column | str) -> Column:
     v = _c(value)
     n = F.when(v.rlike(r"^\d"), v.try_cast("double"))
     return F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(F.coalesce(n.cast("string"), v))
+
+
+#: Genres that count as fiction.
+FICTION = ("Fiction", "Novel", "Romance", "Tale", "Story", "Picaresque", "Novella")
+
+
+def is_fiction(genres: Column, fiction: tuple[str, ...] = FICTION) -> Column:
+    """Whether a record's genres hold one of fiction; no genres: false."""
+    return F.coalesce(F.arrays_overlap(genres, F.array(*[F.lit(g) for g in fiction])), F.lit(False))

@@ -208,3 +208,36 @@ def tag_text(text: Column | str, tag: str) -> Column:
 def gender(value: Column | str) -> Column:
     v = F.lower(F.trim(_c(value)))
     return F.when(v.startswith("m"), "Male").when(v.startswith("f") | v.startswith("w"), "Female").otherwise("Indeterminate")
+
+
+def short_title(title: Column | str) -> Column:
+    """A title up to its first mark, or to a phrase that ends titles, in title case; after Mr, Mrs and Dr a mark doesn't
+    end it. Longer phrases first."""
+    t = F.initcap(F.trim(F.replace(F.replace(_c(title), F.lit("—"), F.lit("--")), F.lit("–"), F.lit("-"))))
+    t = F.replace(t, F.lit(" S "), F.lit("'s "))
+
+    def until(mark: str):
+        def cut(v: Column) -> Column:
+            return let(F.trim(F.substring_index(v, mark, 1)), lambda head: F.when(head.isin("Mrs", "Mr", "Dr"), v).otherwise(head))
+
+        return cut
+
+    def marks(value: Column) -> Column:
+        for mark in V.TITLE_MARKS:
+            value = let(value, until(mark))
+        return value
+
+    def phrases(value: Column) -> Column:
+        for phrase in sorted(V.SHORT_TITLE_ENDS, key=lambda p: (-len(p), p)):
+            value = F.trim(F.substring_index(value, phrase, 1))
+        return value
+
+    return let(t, lambda v: F.trim(F.when(v.rlike("[:;.(\\[,!?]"), marks(v)).otherwise(phrases(v))))
+
+
+def phrase_places(text: Column | str, phrase: str) -> Column:
+    """Where a phrase (a regular expression) begins and ends in a text, ignoring case: code points from 0."""
+    mark = ""
+    pieces = F.split(F.regexp_replace(F.translate(_c(text), mark, " "), f"(?i)({phrase})", f"{mark}$1{mark}"), mark)
+    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    return let(F.struct(pieces.alias("p"), ends.alias("e")), lambda s: F.transform(F.when(F.size(s["p"]) > 1, F.sequence(F.lit(1), F.size(s["p"]) - 2, F.lit(2))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get(s["e"], i).alias("start"), F.get(s["e"], i + 1).alias("end"))))

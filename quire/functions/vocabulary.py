@@ -43,3 +43,10 @@ KEPT_AS_FICTION = (
 
 #: HTML entities that titles and texts are cleaned of.
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&hyphen;": "-"}
+
+# What ends a short title (marks, in the order they are looked for; phrases in title case).
+TITLE_MARKS = (":", ";", ".", "(", "[", ",", "!", "?")
+SHORT_TITLE_ENDS = (
+    "Edited By", "Written By", "A Novel", "A Tale", "A Romance", "A History", "A Story", "A Domestic Tale", "By The Author",
+    "By A Lady", "Being Some", "By Miss", "By Mr", "An Historical", "The Autobiography", "Being", " By ", " Or",
+)

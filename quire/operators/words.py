@@ -196,3 +196,20 @@ def kept_by(df: DataFrame, group: str, order: list) -> DataFrame:
     """One row for each group, the first in an order, among the rows given; rows without a group all stay."""
     first = Window.partitionBy(F.coalesce(F.col(group).cast("string"), F.concat(F.lit("-"), F.col("_id")))).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def modes(index: DataFrame) -> DataFrame:
+    """The word index with its counts said in other ways: raw, presence, share of the text, and per million."""
+    total = F.sum("count").over(Window.partitionBy("_id"))
+    return index.select("_id", "word", F.col("count").alias("raw"), F.lit(1).alias("presence"), (F.col("count") / total).alias("share"), (F.col("count") * 1e6 / total).alias("per_million"))
+
+
+def scaled_counts(long: DataFrame, column: str, by: int = 1_000_000) -> DataFrame:
+    """A matrix's shares as whole numbers: a word whose least value is 1 or more stays, others are multiplied and cut."""
+    least = F.min(column).over(Window.partitionBy("word"))
+    return long.withColumn("scaled", F.when(least >= 1, F.col(column)).otherwise(F.floor(F.col(column) * by)).cast("long"))
+
+
+def author_index(index: DataFrame, texts: DataFrame, author: str = "author") -> DataFrame:
+    """author, word: the author's count of it and how many of the author's texts have it."""
+    return index.join(texts.select("_id", author), "_id").groupBy(author, "word").agg(F.sum("count").alias("n"), F.count("*").alias("n_texts"))
