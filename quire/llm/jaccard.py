@@ -204,7 +204,7 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np
             yield often()
 
     total = docs.select("text").mapInArrow(lean(counted), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = sorted((r["token"] % (1 << 64), r["n"]) for r in total.orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect())
+    rows = sorted((r["token"] % (1 << 64), r["n"]) for r in materialize(total.orderBy(F.col("n").desc(), "token").limit(FREQUENT), "frequent").collect())
     return np.array([t for t, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
 
 

@@ -75,7 +75,7 @@ def corpus_words(docs: DataFrame, text: str = "text", n: int = WORDS) -> list[st
     a word is shuffled after partial counts; n of them reach the driver."""
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z]+"))).alias("w")).where("length(w) between 3 and 24")
     counted = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    return [r["w"] for r in counted.orderBy(F.col("n").desc(), "w").limit(n).collect()]
+    return [r["w"] for r in materialize(counted.orderBy(F.col("n").desc(), "w").limit(n), "dictionary").collect()]
 
 
 def features(df: DataFrame, dictionary: Iterable[str] = ()) -> DataFrame:
