@@ -110,3 +110,41 @@ FICTION = ("Fiction", "Novel", "Romance", "Tale", "Story", "Picaresque", "Novell
 def is_fiction(genres: Column, fiction: tuple[str, ...] = FICTION) -> Column:
     """Whether a record's genres hold one of fiction; no genres: false."""
     return F.coalesce(F.arrays_overlap(genres, F.array(*[F.lit(g) for g in fiction])), F.lit(False))
+
+
+# What counts as prose and as verse
+PROSE = ("Prose", "Non-Fiction", "Fiction", "Biography", "Oratory")
+VERSE = ("Verse", "Poetry")
+
+
+def prose_or_verse(*genres: Column) -> Column:
+    """Prose or Verse by the first of several genres that tells; empty if none does."""
+    told = [F.when(g.isin(*PROSE), "Prose").when(g.isin(*VERSE), "Verse") for g in genres]
+    return F.coalesce(*told, F.lit(""))
+
+
+_NOT_PAGES = "plate|map|table|port|leaf|leav|fold|chart|ill|front|genealog"
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def roman(text: Column) -> Column:
+    """The value of a lower-case Roman numeral; null for anything else."""
+    values = F.create_map(*[F.lit(x) for pair in _ROMAN.items() for x in pair])
+    digits = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.element_at(values, x))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    less = lambda a: F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), lambda x, y: F.when(x < y, x).otherwise(0))
+    return F.when(text.rlike("^[ivxlcdm]+$"), let(digits, lambda a: total(a) - 2 * total(less(a))))
+
+
+def page_sum(extent: Column) -> Column:
+    """Pages of an extent such as 'xi, [1], 216 p.': the sum of its numbers, Roman ones too; null if it has none. Plates,
+    maps and leaves don't count."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(extent)), r"\]*\)*$", ""), r"\s*p\.?\s*$", "")
+
+    def pages(part: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.trim(part), r"^[\[\]]+|[\[\]]+$", ""))
+        number = F.regexp_extract(F.trim(part), r"^\[?(\d{1,9})\]?(\s*p\.?)?$", 1)
+        return F.when(part.rlike(_NOT_PAGES), None).when(number != "", number.cast("int")).otherwise(roman(plain))
+
+    found = F.filter(F.transform(F.split(bare, r"[;,]\s*"), pages), lambda x: x.isNotNull())
+    return let(found, lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0), lambda s, x: s + x)))

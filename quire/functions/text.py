@@ -241,3 +241,25 @@ def phrase_places(text: Column | str, phrase: str) -> Column:
     pieces = F.split(F.regexp_replace(F.translate(_c(text), mark, " "), f"(?i)({phrase})", f"{mark}$1{mark}"), mark)
     ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
     return let(F.struct(pieces.alias("p"), ends.alias("e")), lambda s: F.transform(F.when(F.size(s["p"]) > 1, F.sequence(F.lit(1), F.size(s["p"]) - 2, F.lit(2))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get(s["e"], i).alias("start"), F.get(s["e"], i + 1).alias("end"))))
+
+
+def hashed(text: Column | str) -> Column:
+    """SHA-224, in hex."""
+    return F.sha2(_c(text), 224)
+
+
+def split_keeping(text: Column | str, separator: str) -> Column:
+    """Pieces of a text, each but the last with the separator that follows it."""
+    pieces = F.split(_c(text), "\\Q" + separator + "\\E", -1)
+    return let(pieces, lambda p: F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, F.concat(x, F.lit(separator))).otherwise(x)))
+
+
+def pipe_joined(values: Column | str) -> Column:
+    """An array's strings, stripped, without empty ones and nulls."""
+    stripped = F.transform(_c(values), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(stripped, lambda x: x != ""), "|")
+
+
+def marks_cut(text: Column | str) -> Column:
+    """A catalogue field without the marks at its end."""
+    return F.rtrim(_c(text), F.lit(" /.:,;"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,12 @@ def ranked_key(values: list[Column]) -> Column:
 def trusted(texts: DataFrame, sources: tuple[str, ...], corpora: tuple[str, ...], before: int = 1801) -> DataFrame:
     """Texts whose genre has a trusted source or corpus, if they are from before a year; later and undated ones stay."""
     return texts.where(~F.coalesce(F.col("year") < before, F.lit(False)) | F.coalesce(F.col("genre_source").isin(*sources), F.lit(False)) | F.col("corpus").isin(*corpora))
+
+
+def chosen(corpora: dict[str, DataFrame], query: str, separator: str = ";") -> DataFrame:
+    """Texts by `corpus|id` or `corpus|condition`, several joined by a separator."""
+    parts = [part.strip().split("|", 1) for part in query.split(separator) if "|" in part]
+    if not parts:
+        raise ValueError("a query names a corpus: corpus|id or corpus|condition")
+    one = lambda name, q: corpora[name].where(F.expr(q) if any(c in q for c in "=<>\"'") else F.col("id") == q)
+    return reduce(lambda a, b: a.unionByName(b), [one(name, q) for name, q in parts])

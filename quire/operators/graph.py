@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,3 +150,34 @@ def reachable(edges: DataFrame, start: list, depth: int) -> DataFrame:
             break
         seen = kept(seen.union(last.withColumn("hops", F.lit(n).cast(seen.schema["hops"].dataType))))
     return seen
+
+
+def touching(edges: DataFrame, node) -> DataFrame:
+    return edges.where((F.col("src") == node) | (F.col("dst") == node))
+
+
+def nodes_where(nodes: DataFrame, **equal) -> DataFrame:
+    """Nodes whose columns have given values."""
+    return nodes.where(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in equal.items()], F.lit(True)))
+
+
+def nodes_starting(nodes: DataFrame, **prefixes) -> DataFrame:
+    """Nodes whose columns begin with given strings, whatever their case."""
+    return nodes.where(reduce(lambda a, b: a & b, [F.lower(k).startswith(v.lower()) for k, v in prefixes.items()], F.lit(True)))
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """node, degree, triangles, coefficient: the share of a node's pairs of neighbours that are neighbours themselves.
+
+    Each edge is listed at its end of the smaller degree, so a hub's neighbours are never paired with each other: there are
+    at most as many open pairs as edges to the power of 1.5."""
+    both = kept(undirected(edges))
+    degree = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    of = lambda end, name: degree.select(F.col("node").alias(end), F.col("degree").alias(name))
+    known = both.join(of("src", "_s"), "src").join(of("dst", "_d"), "dst")
+    up = kept(known.where(F.struct("_s", "src") < F.struct("_d", "dst")).select("src", "dst"))
+    pairs = up.select("src", F.col("dst").alias("x")).join(up.select("src", F.col("dst").alias("y")), "src").where("x < y")
+    closed = pairs.join(both.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"])
+    triangles = closed.select(F.explode(F.array("src", "x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+    out = degree.join(triangles, "node", "left").na.fill(0, ["triangles"])
+    return out.withColumn("coefficient", F.when(F.col("degree") > 1, 2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(F.lit(0.0)))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import vocabulary as V
 
+from .ordering import placed
+
 
 def ingest(rows: DataFrame, corpus: str | None = None, order: list | None = None) -> DataFrame:
     """Metadata rows as texts: ids required and unique (the first stays), years parsed, keys normalised, further columns
@@ -61,10 +63,10 @@ def only_new(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 
 def forced_ids(df: DataFrame, order: list) -> DataFrame:
-    """Missing ids as X0001 and so on, by place."""
-    missing = F.col("id").isNull() | (F.col("id") == "")
-    place = F.row_number().over(Window.partitionBy(missing).orderBy(*order))
-    return df.withColumn("id", F.when(missing, F.format_string("X%04d", place)).otherwise(F.col("id")))
+    """Missing ids as X0001 and so on, by place; rows that have an id stay where they are."""
+    missing = F.coalesce(F.col("id"), F.lit("")) == ""
+    given = placed(df.where(missing), order, "_place").withColumn("id", F.format_string("X%04d", "_place"))
+    return df.where(~missing).unionByName(given.select(*df.columns))
 
 
 def versioned_ids(df: DataFrame, order: list) -> DataFrame:

@@ -176,3 +176,10 @@ def propagated(flat: DataFrame, groups: DataFrame, column: str) -> DataFrame:
 def whitelisted(selected: DataFrame, all_: DataFrame, ids: DataFrame) -> DataFrame:
     """The selected rows and those of some ids that weren't."""
     return selected.unionByName(all_.join(ids, "_id", "left_semi").join(selected.select("_id"), "_id", "left_anti"))
+
+
+def grouped_page(members: DataFrame, page: int, per_page: int = 50, shown: int = 20) -> DataFrame:
+    """A page of groups (group, rank and more columns): the first members of each, and how many it has."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("total_members"))
+    there = sizes.orderBy("group").offset((page - 1) * per_page).limit(per_page)
+    return members.where(F.col("rank") < shown).join(F.broadcast(there), "group")  # at most per_page rows

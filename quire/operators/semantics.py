@@ -4,7 +4,7 @@ Vectors: word and v; across periods also period. Neighbours: word, neighbour, si
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph as G
@@ -120,4 +120,5 @@ def hubness(near: DataFrame) -> DataFrame:
 def historical_groups(df: DataFrame, year: str, n: int, low: int, high: int, least: int) -> DataFrame:
     """Rows of years in [low, high) with their bin, if it has enough rows."""
     rows = df.where((F.col(year) >= low) & (F.col(year) < high)).withColumn("bin", (F.floor(F.col(year) / n) * n).cast("int"))
-    return rows.withColumn("_c", F.count("*").over(Window.partitionBy("bin"))).where(F.col("_c") >= least).drop("_c")
+    large = rows.groupBy("bin").agg(F.count("*").alias("_c")).where(F.col("_c") >= least).select("bin")
+    return rows.join(F.broadcast(large), "bin", "left_semi").select(*rows.columns)  # at most a row a year
