@@ -32,10 +32,10 @@ def running_sums(spark, d):
 
 
 @query("""WITH a AS (SELECT o_totalprice AS threshold, count(*) AS n, sum(o_orderkey % 2) AS t FROM orders GROUP BY 1)
-SELECT threshold, round((sum(t) OVER w / sum(n) OVER w)::DOUBLE, 6) AS precision, round((sum(t) OVER w / sum(t) OVER ())::DOUBLE, 6) AS recall FROM a WINDOW w AS (ORDER BY threshold DESC)""")
+SELECT threshold, sum(t) OVER w::DOUBLE / sum(n) OVER w::DOUBLE AS precision, sum(t) OVER w::DOUBLE / sum(t) OVER ()::DOUBLE AS recall FROM a WINDOW w AS (ORDER BY threshold DESC)""")
 def pr_curve(spark, d):
     o = S.table(spark, d, "orders").select(F.col("o_totalprice").alias("p"), (F.col("o_orderkey") % 2).alias("label"))
-    return V.pr_curve(o).select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return V.pr_curve(o)
 
 
 @query("SELECT p_partkey, p_name, b AS b_b, c_n AS c_n FROM (SELECT p_partkey, p_name, p_brand AS b, p_size AS c_n FROM part)")
