@@ -6,10 +6,14 @@ encoded once by the library, and the ids of a text are those of its pieces in or
 bits each; both must agree) and made distinct over the bytes of many texts at once; only pieces that the memo lacks
 become strings. Of these, words of plain Latin letters with ASCII marks are cut into the pattern's splits first, which
 then go to the library's model one by one, each once. Texts that spell a special token, or hold white space beyond
-ASCII's, go to the library whole. The memo is bounded and belongs to one Python worker."""
+ASCII's, go to the library whole. The memo is bounded and belongs to one Python worker.
+
+All this holds for files of that kind alone (usual()): with a normaliser, another splitting, a model that isn't BPE or
+drops merges at random, every text goes to the library whole. A file's truncation and padding are switched off."""
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -60,6 +64,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def usual(settings: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE with the usual splitting pattern and nothing before or inside it that
+    looks beyond a split."""
+    splitting, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    plain = splitting.get("type") == "ByteLevel" and splitting.get("use_regex", True) and not splitting.get("add_prefix_space", True)
+    return plain and settings.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -76,6 +88,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.usual = usual(json.load(f))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.memo = memo
@@ -137,11 +153,11 @@ class Encoder:
         """All ids of the texts in one array, and where each text's end."""
         out, sizes, some, size = [], [], [], 0
         for text in texts:
-            if text and (_WIDE_SPACE.search(text) or any(s in text for s in self.special)):
+            if not self.usual or text and (_WIDE_SPACE.search(text) or any(s in text for s in self.special)):
                 if some:
                     self._encode(some, out, sizes)
                     some, size = [], 0
-                ids = np.array(self._raw([text])[0], np.uint32)
+                ids = np.array(self._raw([text or ""])[0], np.uint32)
                 out.append(ids)
                 sizes.append(np.array([len(ids)], np.int64))
                 continue

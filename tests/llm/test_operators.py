@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import json
 import math
 import re
 import zlib
@@ -338,6 +339,42 @@ def test_encoder_is_the_library(library, docs):
         start = end
 
 
+@pytest.mark.parametrize("change", [{}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"truncation": {"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}}])
+def test_encoder_of_other_files(change, docs, tmp_path):
+    """A file with a normaliser, another splitting or a truncation: the library's ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    with open(PATH, encoding="utf-8") as f:
+        settings = json.load(f) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings), encoding="utf-8")
+    library = Tokenizer.from_file(str(path))
+    library.no_truncation()
+    texts = [t or "" for _, t in docs[:50]] + ["", "UPPER Case  words don't", "x\n\n y"]
+    made = tokens.Encoder(str(path))
+    ids, ends = made.encode([*texts, None])
+    assert made.usual == (change.keys() <= {"truncation"})
+    start = 0
+    for text, end in zip([*texts, ""], ends, strict=True):
+        assert ids[start:end].tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]
+        start = end
+
+
+def test_encoder_of_a_word_vocabulary(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, made = Tokenizer.from_file(path), tokens.Encoder(path)
+    library.no_truncation()
+    library.no_padding()
+    texts = [t or "" for _, t in docs[:50]] + ["", "UPPER Case  words don't"]
+    ids, ends = made.encode(texts)
+    assert not made.usual
+    for text, start, end in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert ids[start:end].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def check_pieces(rows, got, library):
     by = {}
     for i, t in rows:
