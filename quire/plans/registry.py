@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import events, explore, matching, more, records, shapes, structure, words  # noqa: F401
+from . import events, explore, lists, matching, more, records, shapes, structure, words  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "ngram_decade"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import udfs
+from quire.functions.markup import unescaped
 
 #: Extensions of a table's annotated copies, the strongest first. Fixed values.
 ANNOTATED = (".anno.xlsx", ".anno.xls", ".anno.csv", ".xlsx", ".xls", ".csv")
@@ -124,3 +125,36 @@ def key_values(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     last = Window.partitionBy("key").orderBy(F.col("at").desc())
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1 and value is not null").select("key", "value")
+
+
+#: Subfields of a holding, by column. Fixed values.
+HOLDING = {"institution_code": "a", "institution_name": "b", "sublocation": "c", "former_shelfmark": "d", "location": "e", "shelfmark": "j", "provenance": "p", "note": "q", "record_id": "r", "verification": "x", "public_note": "z"}
+
+
+def marc_holdings(spark: SparkSession, path: str) -> DataFrame:
+    """estc_id, system_number, leader and a holding's columns: a row for each field 852 of records in JSON lines, whose
+    fields are [{tag: value or {subfields: [{code: value}]}}]."""
+    raw = spark.read.schema("leader string, fields array<map<string,string>>").json(path)
+    control = lambda tag: F.get(F.filter("fields", lambda f: F.map_contains_key(f, tag)), F.lit(0))[tag]
+    held = F.transform(F.filter("fields", lambda f: F.map_contains_key(f, "852")), lambda f: F.from_json(f["852"], "subfields array<map<string,string>>")["subfields"])
+    rows = raw.select(control("001").alias("estc_id"), control("009").alias("system_number"), "leader", F.explode(held).alias("_s"))
+    value = lambda code: F.get(F.filter("_s", lambda s: F.map_contains_key(s, code)), F.lit(0))[code]
+    return rows.select("estc_id", "system_number", "leader", *[value(code).alias(c) for c, code in HOLDING.items()])
+
+
+def word_map(spark: SparkSession, path: str, column: str = "pos") -> DataFrame:
+    """word and a value, of JSON lines {word: value}."""
+    return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("word", column))
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path: every file below a folder, relative to it. Names only; no file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    return found.select(F.regexp_extract("path", r"\Q" + folder.rstrip("/").removeprefix("file://") + r"\E/(.*)$", 1).alias("path"))
+
+
+def gexf_edges(spark: SparkSession, path: str) -> DataFrame:
+    """src, dst, weight of a graph file that sinks.write_gexf wrote, or another with an edge a line."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"<edge\s"))
+    value = lambda name: unescaped(F.regexp_extract("value", rf'\b{name}="([^"]*)"', 1))
+    return lines.select(value("source").alias("src"), value("target").alias("dst"), value("weight").try_cast("double").alias("weight"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.markup import escaped
+
 
 #: Rows that a file of a driver's format takes; a larger table is refused, not cut.
 DRIVER_ROWS = 1_000_000
@@ -47,3 +49,21 @@ def write_frequencies(word_index: DataFrame, path: str) -> None:
 def put(spark, path: str, key: str, value: str | None, at: float) -> None:
     """Sets a key (null value: deletes it) by appending; readers take the last."""
     spark.createDataFrame([(key, value, at)], "key string, value string, at double").write.mode("append").parquet(path)
+
+
+def export(texts: DataFrame, folder: str) -> None:
+    """A corpus as a folder: metadata as csv, texts as lines of id and text."""
+    write(texts.drop("text"), f"{folder}/metadata.csv")
+    write(texts.select("id", "text"), f"{folder}/texts.jsonl")
+
+
+def write_gexf(edges: DataFrame, path: str) -> None:
+    """edges (src, dst, weight) as a GEXF graph: a folder whose parts, put together in the order of their names, are the
+    file. Sorted by ranges; no task holds the graph."""
+    line = lambda place, key, text: (F.lit(place).alias("place"), key.alias("key"), text.alias("value"))
+    fixed = edges.sparkSession.createDataFrame([(0, "", '<?xml version="1.0" encoding="UTF-8"?>\n<gexf version="1.3"><graph defaultedgetype="directed"><nodes>'), (2, "", "</nodes><edges>"), (4, "", "</edges></graph></gexf>")], "place int, key string, value string")
+    nodes = edges.select("src").union(edges.select("dst")).distinct().toDF("n")
+    quoted = lambda c: F.concat(F.lit('"'), escaped(F.col(c).cast("string")), F.lit('"'))
+    node = nodes.select(*line(1, F.col("n").cast("string"), F.concat(F.lit("<node id="), quoted("n"), F.lit(" label="), quoted("n"), F.lit("/>"))))
+    edge = edges.select(*line(3, F.col("src").cast("string"), F.concat(F.lit("<edge source="), quoted("src"), F.lit(" target="), quoted("dst"), F.lit(" weight="), quoted("weight"), F.lit("/>"))))
+    fixed.unionByName(node).unionByName(edge).orderBy("place", "key").select("value").write.mode("overwrite").text(path)
