@@ -64,12 +64,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def usual(settings: dict) -> bool:
-    """Whether a tokenizer file is byte-level BPE with the usual splitting pattern and nothing before or inside it that
-    looks beyond a split."""
-    splitting, model = settings.get("pre_tokenizer") or {}, settings["model"]
+def usual(tokenizer) -> bool:
+    """Whether a tokenizer is byte-level BPE with the usual splitting pattern and nothing before or inside it that looks
+    beyond a split. Only the splitting's few settings are read as JSON; the vocabulary isn't held a second time."""
+    splitting = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
     plain = splitting.get("type") == "ByteLevel" and splitting.get("use_regex", True) and not splitting.get("add_prefix_space", True)
-    return plain and settings.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+    return plain and tokenizer.normalizer is None and type(tokenizer.model).__name__ == "BPE" and not tokenizer.model.dropout
 
 
 def default_path() -> str:
@@ -90,8 +90,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            self.usual = usual(json.load(f))
+        self.usual = usual(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.memo = memo
