@@ -130,7 +130,7 @@ def jaro_winkler_pairs(spark, d):
     return j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(udfs.jaro_winkler(F.col("a.p_name"), F.col("b.p_name")), 6).alias("similarity"))
 
 
-@query()
+@query("SELECT p_partkey, (p_size + 12)::INTEGER AS num_pages, NULL::INTEGER AS num_volumes, 'pages' AS extent_type, true AS has_plates, '8⁰' AS format_std, NULL::VARCHAR AS format_modifier, NULL::VARCHAR AS format_cm FROM part")
 def book_extent(spark, d):
     p = S.table(spark, d, "part").select("p_partkey", F.concat(F.lit("xi, [1], "), F.col("p_size").cast("string"), F.lit(" p., plates ; 8⁰")).alias("raw"))
     return p.select("p_partkey", udfs.extent("raw").alias("e"), udfs.book_format("raw").alias("f")).select("p_partkey", "e.*", "f.*")

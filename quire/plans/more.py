@@ -42,7 +42,12 @@ def markup_genre(spark, d):
     return S.table(spark, d, "pages").select("page_id", B.markup_genre("html").alias("genre"))
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split(p_name, ' ')) AS w FROM part),
+p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, list_sort(list_intersect(a.w, b.w)) AS c, list_sort(list_filter(a.w, lambda x: NOT list_contains(b.w, x))) AS x, list_sort(list_filter(b.w, lambda x: NOT list_contains(a.w, x))) AS y
+  FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
+t AS (SELECT a, b, array_to_string(c, ' ') AS c, array_to_string(list_concat(c, x), ' ') AS l, array_to_string(list_concat(c, y), ' ') AS r FROM p),
+s AS (SELECT a, b, c, unnest([struct_pack(u := l, v := r, k := true), struct_pack(u := c, v := l, k := c <> ''), struct_pack(u := c, v := r, k := c <> '')]) AS z FROM t)
+SELECT a, b, round(max(CASE WHEN z.k THEN 100 * (1 - levenshtein(z.u, z.v) / greatest(length(z.u), length(z.v), 1)) END)::DOUBLE, 6) AS ratio FROM s GROUP BY a, b""")
 def token_set_pairs(spark, d):
     p = S.table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.split("p_name", " ").alias("w"))
     a, b = p.alias("a"), p.alias("b")

@@ -57,7 +57,9 @@ def section_concat(spark, d):
     return C.concatenated(S.table(spark, d, "conversations"), "conv_id", "turn").withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&hyphen;', '-') AS t FROM a)
+SELECT page_id, trim(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ') AS text FROM b""")
 def html_to_text(spark, d):
     return S.table(spark, d, "pages").select("page_id", T.unhtml("html").alias("text"))
 
@@ -266,6 +268,7 @@ def top_per_group(spark, d):
     return S.table(spark, d, "documents").select("lang", "doc_id", F.row_number().over(w).alias("n")).where("n <= 10").drop("n")
 
 
-@query()
+@query(f"""WITH {TEXTS}, n AS (SELECT min(c) AS least FROM (SELECT count(*) AS c FROM texts GROUP BY genre)), r AS (SELECT _id, genre, row_number() OVER (PARTITION BY genre ORDER BY md5('0:' || _id), _id) AS place FROM texts)
+SELECT _id, genre FROM r, n WHERE place <= least""")
 def balanced_sample(spark, d):
     return V.balanced(S.texts(spark, d).select("_id", "genre"), "genre", "_id")
