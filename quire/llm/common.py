@@ -49,6 +49,10 @@ def lean(f, keeps: str = ""):
 
 
 def trim() -> None:
+    """Gives freed memory back to the system: Arrow's pool keeps its own, beside what malloc keeps."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

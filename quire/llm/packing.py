@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, read
+from .common import lean, read, trim
 from .tokens import default_path, encoder
 
 LENGTH = 2048
 END_ID = 1
 WINDOW = 1 << 21
-MEMO = 250_000  # pieces a worker remembers: packing runs beside the heaps that earlier stages have grown
+ROWS = 256  # texts that are encoded at once
+#: Pieces a worker remembers and bytes it cuts at once: packing runs beside the heaps that earlier stages have grown.
+MEMO, SLICE = 150_000, 1 << 18
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -69,12 +71,11 @@ def _pack(ids: list, docs: list, first: int, with_ids: bool, capacity: int) -> t
     ids_out, lengths = [], {}
     for k, start, n, seq, offset in assign([len(x) for x in ids], capacity):
         piece = ids[k][start : start + n]
-        raw = piece.astype("<u4").tobytes()
-        for key, v in zip(out, (docs[k], start, n, zlib.crc32(raw), len(ids[k]), first + seq, offset), strict=True):
+        for key, v in zip(out, (docs[k], start, n, zlib.crc32(piece.astype("<u4", copy=False)), len(ids[k]), first + seq, offset), strict=True):
             out[key].append(v)
         lengths[first + seq] = lengths.get(first + seq, 0) + n
         if with_ids:
-            ids_out.append(piece.astype(np.int32))
+            ids_out.append(piece.view(np.int32))
     out["sequence_length"] = [lengths[s] for s in out["sequence_id"]]
     if with_ids:
         out["ids"] = ids_out
@@ -88,19 +89,20 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        enc, ids, names, total = encoder(path, MEMO), [], [], 0
+        enc, ids, names, total = encoder(path, MEMO, SLICE), [], [], 0
         end = np.array([end_id], np.uint32)
+        names_out = [part.split()[0] for part in schema.split(", ")]
 
         def emit():
             nonlocal first, ids, names, total
             out, first = _pack(ids, names, first, with_ids, length)
             ids, names, total = [], [], 0
             kinds = {"ids": pa.list_(pa.int32())}
-            return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+            return pa.RecordBatch.from_arrays([pa.array(out.pop(k), kinds.get(k, pa.int64())) for k in names_out], names=names_out)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
                 flat, ends = enc.encode(some.column(1).to_pylist())
                 for doc, a, b in zip(some.column(0).to_pylist(), [0, *ends[:-1]], ends, strict=True):
                     ids.append(np.concatenate((flat[a:b], end)))
@@ -108,6 +110,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
                     total += len(ids[-1])
                 if total >= window:
                     yield emit()
+                    trim()
         if ids:
             yield emit()
 

@@ -40,7 +40,7 @@ _SPELLING = _spelling()
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
 MEMO_PIECES = 600_000
-SLICE = 1 << 20
+SLICE = 1 << 20  # bytes that are cut into pieces at once, in some sixty times their memory
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -54,7 +54,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         _POWERS[:] = []
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.ones(max(n, SLICE + (1 << 18)), np.uint64)
+            p = np.ones(n + (1 << 18), np.uint64)
             size = 1
             while size < len(p):
                 m = min(size, len(p) - size)
@@ -81,7 +81,7 @@ def default_path() -> str:
 class Encoder:
     """A tokenizer file's ids for texts; see encode()."""
 
-    def __init__(self, path: str, memo: int = MEMO_PIECES):
+    def __init__(self, path: str, memo: int = MEMO_PIECES, size: int = SLICE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,7 +93,7 @@ class Encoder:
         self.usual = usual(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.memo = memo
+        self.memo, self.slice = memo, size
         self.clear()
 
     def clear(self) -> None:
@@ -161,18 +161,18 @@ class Encoder:
                 sizes.append(np.array([len(ids)], np.int64))
                 continue
             raw = (text or "").encode()
-            if len(raw) > SLICE:
+            if len(raw) > self.slice:
                 if some:
                     self._encode(some, out, sizes)
                     some, size = [], 0
                 each: list[np.ndarray] = []
-                for part in _parts(raw):
+                for part in _parts(raw, self.slice):
                     self._encode([part], out, each)
                 sizes.append(np.concatenate(each).sum(keepdims=True))
                 continue
             some.append(raw)
             size += len(raw)
-            if size > SLICE:
+            if size > self.slice:
                 self._encode(some, out, sizes)
                 some, size = [], 0
         if some:
@@ -237,23 +237,24 @@ class Encoder:
                 self.at.update(zip(name[absent].tolist(), range(kept[0], kept[0] + len(absent)), strict=True))
 
 
-def _parts(raw: bytes) -> Iterator[bytes]:
+def _parts(raw: bytes, size: int = SLICE) -> Iterator[bytes]:
     """A long text cut where a split begins, into parts of about a slice."""
     at = 0
     while at < len(raw):
-        cut = _SAFE_CUT.search(raw, at + SLICE)
+        cut = _SAFE_CUT.search(raw, at + size)
         end = cut.start() if cut else len(raw)
         yield raw[at:end]
         at = end
 
 
-_MEMO: dict[tuple[str, int], Encoder] = {}
-MEMOS["tokens"] = _MEMO.clear
+_MEMO: dict[tuple[str, int, int], Encoder] = {}
+MEMOS["tokens"] = lambda: (_MEMO.clear(), _POWERS.clear())
 
 
-def encoder(path: str, memo: int = MEMO_PIECES) -> Encoder:
-    """This worker's encoder. memo: pieces that it remembers, about 200 bytes each; fewer cost time, not correctness."""
-    if (path, memo) not in _MEMO:
-        _MEMO.clear()
-        _MEMO[path, memo] = Encoder(path, memo)
-    return _MEMO[path, memo]
+def encoder(path: str, memo: int = MEMO_PIECES, size: int = SLICE) -> Encoder:
+    """This worker's encoder. memo: pieces that it remembers, about 200 bytes each; size: bytes it cuts at once. Less of
+    either costs time, not correctness."""
+    if (path, memo, size) not in _MEMO:
+        MEMOS["tokens"]()
+        _MEMO[path, memo, size] = Encoder(path, memo, size)
+    return _MEMO[path, memo, size]
