@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -47,6 +48,33 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def jaro_winkler_bound(a: np.ndarray, b: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+    """What the similarity of a string (code points a) to many (rows of b, of `sizes` characters, then -1) is at most:
+    characters match at most as often as both hold them, and none is transposed."""
+    most = sum(np.minimum(int((a == c).sum()), (b == c).sum(axis=1)) for c in set(a.tolist()))
+    wide = min(4, n, b.shape[1])
+    prefix = np.cumprod(b[:, :wide] == a[:wide], axis=1).sum(axis=1)
+    jaro = np.where(most > 0, (most / n + most / np.maximum(sizes, 1) + 1) / 3, 0.0)
+    return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro) + 1e-9
+
+
+def most_alike(a: str, others: list[str], codes: np.ndarray, sizes: np.ndarray, keys: np.ndarray, there: np.ndarray, least: float) -> tuple[int, float] | None:
+    """The key and Jaro-Winkler similarity of the string most like a of those of at least that similarity; of equally
+    similar ones the smallest key. `there`: which strings count. Strings are compared from the highest bound down, until no bound reaches the best."""
+    if not len(others):
+        return None
+    bound = jaro_winkler_bound(np.fromiter(map(ord, a), np.int32, len(a)), codes, len(a), sizes) if a else np.ones(len(others))
+    bound = np.where(there, bound, -1.0)
+    best, key = least, None
+    for k in np.argsort(-bound, kind="stable"):
+        if bound[k] < max(best, 0):
+            break
+        score = jaro_winkler_similarity(a, others[k])
+        if score > best or score == best and (key is None or keys[k] < key):
+            best, key = score, int(keys[k])
+    return None if key is None else (key, best)
+
+
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 

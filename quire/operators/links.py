@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.scratch import kept
+
 
 def linked(left: DataFrame, right: DataFrame, mine: str, theirs: str, prefix: str, transform=None) -> DataFrame:
     """left with the columns of the one row of right that it links to, prefixed. transform: a column function over my key.
@@ -68,12 +70,47 @@ def inherited(rows: DataFrame, key: str, refers_to: str, columns: list[str]) ->
 def to_verify(rows: DataFrame, others: DataFrame, done: DataFrame, key: str, title: str, block: str, least: float = 0.85) -> DataFrame:
     """Candidates for people to check: rows that nobody has decided, with the most alike title of the other side in the
     same block (Jaro-Winkler; at least so alike; ties by the other's key)."""
+    import numpy as np
+    import pyarrow as pa
+
     from quire.functions import udfs
 
-    own = rows.join(done.select(key).distinct(), key, "left_anti").select(F.col(key).alias("a"), F.col(title).alias("ta"), block)
-    theirs = others.select(F.col(key).alias("b"), F.col(title).alias("tb"), block)
-    pairs = own.join(theirs, block).where("a <> b")
-    short, long = F.least(F.length("ta"), F.length("tb")), F.greatest(F.length("ta"), F.length("tb"))
-    jaro = (2 + short / long) / 3
-    pairs = pairs.where(jaro + 0.4 * (1 - jaro) >= least).withColumn("score", udfs.jaro_winkler(F.col("ta"), F.col("tb"))).where(F.col("score") >= least)
-    return pairs.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct(F.col("score"), -F.col("b"))).alias("m")).select("a", "m.b", "m.score")
+    own = rows.join(done.select(key).distinct(), key, "left_anti").where(F.col(key).isNotNull() & F.col(title).isNotNull()).select(F.col(key).alias("a"), F.col(title).alias("ta"), block)
+    theirs = others.where(F.col(key).isNotNull() & F.col(title).isNotNull())
+    # A title of a block stands for its rows: of equal ones only the two smallest keys can be chosen
+    names = theirs.groupBy(block, title).agg(F.min(key).alias("b"))
+    again = theirs.join(names.select(block, title, "b"), [block, title]).where(F.col(key) > F.col("b")).groupBy(block, title).agg(F.min(key).alias("b2"))
+    names = names.join(again, [block, title], "left").select(block, F.col(title).alias("tb"), "b", "b2")
+    # Equal titles are as alike as can be
+    same = own.join(names.withColumnRenamed("tb", "ta"), [block, "ta"], "left").withColumn("_b", F.when(F.col("b") == F.col("a"), F.col("b2")).otherwise(F.col("b")))
+    same = kept(same.select("a", "ta", block, "_b"), "same")
+    certain = same.where("_b is not null").select("a", F.col("_b").alias("b"), F.lit(1.0).alias("score"))
+    kind = rows.schema[key].dataType.simpleString()
+    left = same.where("_b is null").select(block, "a", "ta")
+
+    def compared(_, mine, its):
+        tb = its.column("tb").to_pylist()
+        keys, sizes = its.column("b").to_numpy(), np.array([len(x) for x in tb], np.int64)
+        seconds = its.column("b2").to_pylist()
+        codes = np.full((len(tb), max(sizes.max(initial=1), 1)), -1, np.int32)
+        for k, x in enumerate(tb):
+            codes[k, : len(x)] = np.fromiter(map(ord, x), np.int32, len(x))
+        found = []
+        for a, ta in zip(mine.column("a").to_pylist(), mine.column("ta").to_pylist(), strict=True):
+            own_, now, there = np.flatnonzero(keys == a), keys, np.ones(len(tb), bool)
+            if len(own_):  # not itself: its title's second key, if there is one
+                now = keys.copy()
+                for k in own_:
+                    there[k], now[k] = seconds[k] is not None, seconds[k] or 0
+            got = udfs.most_alike(ta, tb, codes, sizes, now, there, least)
+            if got:
+                found.append((a, *got))
+        return pa.table({"a": [f[0] for f in found], "b": [f[1] for f in found], "score": pa.array([f[2] for f in found], pa.float64())}, pa.schema([("a", mine.schema.field("a").type), ("b", its.schema.field("b").type), ("score", pa.float64())]))
+
+    # A block's titles are shared by several tasks, each with some of its open rows
+    parts = 4
+    mine = left.withColumn("_p", F.pmod(F.xxhash64("a"), F.lit(parts)))
+    spread = names.join(left.select(block).distinct(), block, "left_semi").select(block, "tb", "b", "b2").withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    alike = mine.groupBy(block, "_p").cogroup(spread.groupBy(block, "_p")).applyInArrow(compared, f"a {kind}, b {kind}, score double")
+    every = certain.unionByName(alike)
+    return every.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct(F.col("score"), -F.col("b"))).alias("m")).select("a", "m.b", "m.score")
